@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
+from .license_scan import op7_license_scan
 from .quality_rules import op3_quality_rules
+from .secret_scan import op9_secret_scan
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
+    "op7_license_scan": op7_license_scan,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
