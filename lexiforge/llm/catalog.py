@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .decontamination import op4_decontamination
 from .license_scan import op7_license_scan
+from .packing import op10_packing
 from .quality_rules import op3_quality_rules
 from .secret_scan import op9_secret_scan
+from .token_output import op5_token_output
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_token_output": op5_token_output,
     "op7_license_scan": op7_license_scan,
     "op9_secret_scan": op9_secret_scan,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
