@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontamination import op4_decontamination
 from .license_scan import op7_license_scan
+from .near_dedup import op2_near_dedup
 from .packing import op10_packing
 from .quality_rules import op3_quality_rules
 from .secret_scan import op9_secret_scan
 from .token_output import op5_token_output
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_token_output": op5_token_output,
