@@ -6,8 +6,11 @@ from .decontamination import op4_decontamination
 from .license_scan import op7_license_scan
 from .near_dedup import op2_near_dedup
 from .packing import op10_packing
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import op3_quality_rules
 from .secret_scan import op9_secret_scan
+from .substring_dedup import ORACLE as SUBSTRING_SQL
+from .substring_dedup import op8_substring_dedup
 from .token_output import op5_token_output
 
 QUERIES = {
@@ -15,9 +18,13 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_token_output": op5_token_output,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_license_scan": op7_license_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": SUBSTRING_SQL,
+}
