@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .language_model import op1_lm_scoring
 from .license_scan import op7_license_scan
 from .near_dedup import op2_near_dedup
 from .packing import op10_packing
@@ -14,6 +15,7 @@ from .substring_dedup import op8_substring_dedup
 from .token_output import op5_token_output
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,

@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, sentences: b
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "deduplicated"])
 
-    return joined.mapInArrow(run, joined.withColumn("deduplicated", F.lit("")).schema)
+    return joined.mapInArrow(run, joined.withColumn("deduplicated", F.lit(None).cast("string")).schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
