@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .shared import documents
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, with_end
 
 SIZE = 2048
 #: Penalties of a cut after a sentence, between words, and anywhere.
@@ -168,13 +168,14 @@ def pack(
     """One row per piece of a document in a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], np.uint32).tobytes()
+        enc = encoder(vocabulary)
         packer = Packer(token_kinds(vocabulary), TaskContext.get().partitionId() << 40, size, costs)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for i, j, data, offsets in ts.blocks(batch.column(1)):
-                for name, coded in zip(names[i:j], enc.encode(data, offsets), strict=True):
-                    yield from packer.add(name, np.frombuffer(coded + end, np.uint32))
+                ids, bounds = with_end(*enc.encode(data, offsets), end_id)
+                for name, a, b in zip(names[i:j], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    yield from packer.add(name, ids[a:b])
         yield from packer.flush(True)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

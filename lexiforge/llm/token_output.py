@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .shared import documents, table_path
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, with_end
 
 #: Values in a word and their width, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -146,14 +146,11 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first, enc = TaskContext.get().partitionId(), 0, encoder(vocabulary)
-        end = struct.pack("<I", end_id)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, j, data, offsets in ts.blocks(batch.column(1), RECORD_IDS * 4):
-                coded = [x + end for x in enc.encode(data, offsets)]
-                lengths = [len(x) // 4 for x in coded]
-                values = np.frombuffer(b"".join(coded), np.uint32)
-                yield pa.RecordBatch.from_pylist([{"shard": shard, "first": first, "doc_ids": ids[i:j], "lengths": lengths, "payload": encode(values)}], schema=_RECORD)
+                values, bounds = with_end(*enc.encode(data, offsets), end_id)
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "first": first, "doc_ids": ids[i:j], "lengths": np.diff(bounds).tolist(), "payload": encode(values)}], schema=_RECORD)
                 first += len(values)
 
     ordered.mapInArrow(run, RECORD).write.option("compression", "zstd").parquet(path)

@@ -1,9 +1,11 @@
 """Token ids of whole texts, through the tokenizers library.
 
-Texts are cut where the vocabulary's own pre-tokenisation always cuts, at white
-space, and each distinct piece is encoded once for a while: a bounded cache maps
-pieces to ids. Texts in which white space takes part in a longer run are encoded
-whole, so the ids always equal those of the library on the whole text.
+Texts are cut where the vocabulary's own pre-tokenisation always cuts: at white
+space, and between a letter or digit and trailing punctuation. Each distinct
+piece is encoded by the library once for a while; a bounded cache, sorted by the
+pieces' 64-bit fingerprints, holds its ids, and the ids of a block of texts are
+gathered from it at once. Texts in which white space takes part in a longer run
+are encoded whole, so the ids equal those of the library on the whole text.
 """
 
 from __future__ import annotations
@@ -11,14 +13,23 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
-_PUNCTUATION = b".,;:!?*$%&#|"
-_ALNUM_END = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+from . import textscan as ts
+
+#: Pieces in the cache: 24 bytes each and 4 for each of their ids.
+CACHE_ENTRIES = 3_000_000
+_TRAILING = np.zeros(256, bool)
+_TRAILING[list(b".,;:!?*$%&#|")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+#: What a fingerprint is combined with if the piece comes after a blank.
+_PREFIXED = np.uint64(0xA5A5F00D5EED1234)
 
 
 def _load(path: str):
@@ -43,69 +54,117 @@ class Encoder:
             self.plain = _load(path)
             self.plain.normalizer = None
         self.cache_entries = cache_entries
-        self.pieces: dict[bytes, bytes] = {}
-        self.heads: dict[bytes, bytes] = {b"": b""}
-
-    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, into: dict[bytes, bytes], missing: Iterable[bytes], prefix: str) -> None:
-        """Encode pieces; trailing punctuation is a piece of its own after a letter or digit."""
-        direct, joined = set(), []
-        for piece in missing:
-            body = piece.rstrip(_PUNCTUATION)
-            if body and len(body) < len(piece) and body[-1] in _ALNUM_END:
-                joined.append((piece, body, piece[len(body) :]))
-                if body not in into:
-                    direct.add(body)
-            else:
-                direct.add(piece)
-        tails = {t for _, _, t in joined if t not in self.heads}
-        self._encode(self.heads, tails, "")
-        self._encode(into, direct, prefix)
-        for piece, body, tail in joined:
-            into[piece] = into[body] + self.heads[tail]
-
-    def _encode(self, into: dict[bytes, bytes], pieces: set[bytes], prefix: str) -> None:
-        normal, odd = [], []
-        for piece in pieces:
-            text = piece.decode()
-            if self.plain is None or (text.isascii() or unicodedata.is_normalized("NFC", text)) and text == text.lower() and not any(c.isspace() for c in text):
-                normal.append((piece, text))
-            else:
-                odd.append((piece, text))
-        for tokenizer, some in ((self.plain or self.whole, normal), (self.whole, odd)):
-            if some:
-                ids = self._ids(tokenizer, [(prefix if t[:1] != "\n" else "") + t for _, t in some])
-                into.update(zip((p for p, _ in some), ids, strict=True))
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.pieces) > self.cache_entries:
-            self.pieces.clear()
-        if len(self.heads) > self.cache_entries:
-            self.heads = {b"": b""}
-        raw, bounds = data.tobytes(), offsets.tolist()
-        texts = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        if self.spaceless:
-            parts = [t.split() for t in texts]
-            if missing := set().union(*parts) - self.pieces.keys():
-                self._learn(self.pieces, missing, "")
-            get = self.pieces.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        odd = _odd_spaces(data, offsets)
-        parts = [[] if o else t.replace(b"\n", b" \n").split(b" ") for t, o in zip(texts, odd, strict=True)]
-        if missing := {p[0] for p in parts if p} - self.heads.keys():
-            self._learn(self.heads, missing, "")
-        if missing := set().union(*(p[1:] for p in parts)) - self.pieces.keys():
-            self._learn(self.pieces, missing, " ")
-        get = self.pieces.__getitem__
-        out = [self.heads[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in parts]
-        for k in np.flatnonzero(odd).tolist():
-            out[k] = self._ids(self.whole, [texts[k].decode()])[0]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        if self.plain is None:
+            return self._ids(self.whole, texts)
+        is_plain = [t.isprintable() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        plain = iter(self._ids(self.plain, [t for t, ok in zip(texts, is_plain, strict=True) if ok]))
+        rest = iter(self._ids(self.whole, [t for t, ok in zip(texts, is_plain, strict=True) if not ok]))
+        return [next(plain if ok else rest) for ok in is_plain]
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Add pieces whose keys are sorted and new."""
+        ids = self._encode(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        more = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        if self.used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(more)) * 2, np.uint32)])
+        self.flat[self.used : self.used + len(more)] = more
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.used += len(more)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the bounds of each text."""
+        n = len(offsets) - 1
+        # a capital followed by a combining mark may compose where its small letter doesn't
+        lower = self.spaceless and not ((data == 0xCC) | (data == 0xCD)).any()
+        s = ts.scan(data, offsets, ts.SPACE, lower=lower)
+        index = np.arange(len(data))
+        body = np.maximum.accumulate(np.where(_TRAILING[s.data], -1, index))[s.end - 1] + 1 if len(s.end) else s.end
+        cut = (body > s.start) & (body < s.end) & _ALNUM[s.data[np.maximum(body, 1) - 1]] if len(s.end) else np.zeros(0, bool)
+        body = np.where(cut, body, s.end)
+        start, end = np.concatenate([s.start, body[cut]]), np.concatenate([body, s.end[cut]])
+        key = ts.range_hash(s.prefix, start, end)
+        prefixed = np.zeros(len(start), bool)
+        odd = np.zeros(n, bool)
+        if not self.spaceless:
+            words = len(s.start)
+            prefixed[:words] = (s.start > offsets[s.doc]) & (data[s.start - 1] == 32)
+            odd = _odd_spaces(data, offsets)
+            last = np.zeros(len(data) + 1, bool)
+            last[offsets] = True
+            after = np.zeros(len(data), bool)
+            after[:-1] = ts.IS_SPACE_WORD[data[1:]]
+            blank = np.flatnonzero(_BLANK[data] & ((data == 10) | ~after | last[1:]))
+            start, end = np.concatenate([start, blank]), np.concatenate([end, blank + 1])
+            key = np.concatenate([np.where(prefixed, ts.mix(key ^ _PREFIXED), key), data[blank].astype(np.uint64)])
+            prefixed = np.concatenate([prefixed, np.zeros(len(blank), bool)])
+        doc = np.searchsorted(offsets, start, "right") - 1
+        if odd.any():
+            fine = ~odd[doc]
+            start, end, key, prefixed, doc = start[fine], end[fine], key[fine], prefixed[fine], doc[fine]
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, unique)
+        missing = np.ones(len(unique), bool)
+        if len(self.keys):
+            missing = self.keys[np.minimum(at, len(self.keys) - 1)] != unique
+        if missing.any():
+            if len(self.keys) + missing.sum() > self.cache_entries:
+                self._clear()
+                missing[:] = True
+            raw, new = s.data.tobytes(), first[missing]
+            texts = [(" " if p else "") + raw[a:b].decode() for a, b, p in zip(start[new].tolist(), end[new].tolist(), prefixed[new].tolist(), strict=True)]
+            self._learn(unique[missing], texts)
+            at = np.searchsorted(self.keys, unique)
+        begin, size = self.begin[at][inverse], self.size[at][inverse]
+        whole: list[np.ndarray] = []
+        if odd.any():
+            raw = data.tobytes()
+            which = np.flatnonzero(odd)
+            whole = [np.array(x, np.uint32) for x in self._ids(self.whole, [raw[offsets[k] : offsets[k + 1]].decode() for k in which.tolist()])]
+            start, doc = np.concatenate([start, offsets[which]]), np.concatenate([doc, which])
+            begin, size = np.concatenate([begin, np.full(len(which), -1)]), np.concatenate([size, [len(x) for x in whole]])
+        order = np.argsort(start, kind="stable")
+        begin, size = begin[order], size[order]
+        ends = np.cumsum(size)
+        out = self.flat[np.repeat(np.maximum(begin, 0) - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)] if not whole else self._gather(begin, size, ends, whole)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, np.concatenate([self.size[at][inverse], [len(x) for x in whole]]), n).astype(np.int64))])
+        return out, bounds
+
+    def _gather(self, begin: np.ndarray, size: np.ndarray, ends: np.ndarray, whole: list[np.ndarray]) -> np.ndarray:
+        """As in `encode`, with the ids of texts that were encoded whole."""
+        out = np.zeros(ends[-1], np.uint32)
+        kept = begin >= 0
+        many = size[kept]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out[np.repeat((ends - size)[kept], many) + within] = self.flat[np.repeat(begin[kept], many) + within]
+        for at, ids in zip((ends - size)[~kept].tolist(), whole, strict=True):
+            out[at : at + len(ids)] = ids
         return out
 
 
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with the end id after each text."""
+    n = len(bounds) - 1
+    after = bounds + np.arange(n + 1)
+    out = np.full(len(ids) + n, end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
+    return out, after
+
+
 def _odd_spaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts with white space other than blanks and newlines, with three of these
     in a row, or with two at the end."""

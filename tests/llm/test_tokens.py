@@ -24,7 +24,8 @@ ODD = [" lead", "trail  ", "a   b", "a\n\n\nb", "a \nb", "x  y", "<|endoftext|>
 def encoded(name, texts):
     out = []
     for _, _, data, offsets in ts.blocks(pa.array(texts, pa.string()), 100):
-        out += [np.frombuffer(x, np.uint32).tolist() for x in ENCODERS[name].encode(data, offsets)]
+        ids, bounds = ENCODERS[name].encode(data, offsets)
+        out += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
     return out
 
 
