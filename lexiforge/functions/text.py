@@ -132,7 +132,7 @@ def edge_preserved(original: Column, translated: Column) -> Column:
 
 def page_normalized(c: Column) -> Column:
     """A page's lines without trailing white space and blank lines, stripped."""
-    lines = F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    lines = F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
@@ -142,5 +142,5 @@ def alphanumeric_count(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines as an editor counts them: no empty one after a final line end."""
-    parts = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+    parts = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
