@@ -178,7 +178,12 @@ class GRU:
         zr += 1
         np.reciprocal(zr, out=zr)
         z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(x[:, 2 * k :] + r * rec[:, 2 * k :])
+        c = x[:, 2 * k :] + r * rec[:, 2 * k :]
+        c *= -2  # tanh(c) = 2 / (1 + exp(-2c)) - 1; numpy's exp is vectorised where its tanh isn't
+        np.exp(np.minimum(c, 60, out=c), out=c)
+        c += 1
+        np.divide(2, c, out=c)
+        c -= 1
         return z, r, c, rec[:, 2 * k :]
 
     def table(self) -> np.ndarray:
@@ -434,7 +439,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, fraction: float = FRA
         row, vocabulary, model = TaskContext.get().partitionId() << 40, words.value, shipped.value
         for batch in batches:
             ids = batch.column(0)
-            for i, j, data, offsets in ts.blocks(batch.column(1), 4 * ts.BLOCK_BYTES):
+            for i, j, data, offsets in ts.blocks(batch.column(1), 2 * ts.BLOCK_BYTES):
                 hashes, bounds = token_hashes(data, offsets)
                 place, count = vocabulary.look_up(hashes)
                 logs = np.log10(np.maximum(count, 0) + 1.0)

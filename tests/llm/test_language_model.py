@@ -87,7 +87,7 @@ def test_training_learns():
     held = [np.tile([a, a + 1, a + 2, a + 3], 12) for a in (3, 20, 41)]
     bounds, flat = np.arange(4) * 48, np.concatenate(held)
     before = model.score(flat, bounds).sum()
-    assert lm.train(model, iter(docs), lanes=8, rate=0.02) == 300 * 48
+    assert lm.train(model, iter(docs), lanes=8, rate=0.1) == 300 * 48
     assert model.score(flat, bounds).sum() > 0.6 * before
 
 
