@@ -7,10 +7,12 @@ all of them, 8 bits each, verify candidates. At a similarity of 0.85, bands miss
 a pair with probability 2e-8, at 0.8 with 3e-6; the signature bound lies 5
 standard deviations below the threshold. Every link is confirmed on full sets.
 
-A bucket's classes aren't paired with each other. In two rounds all of them meet
+A bucket's classes aren't paired with each other. In a round all of them meet
 one leader, which is linear; buckets that lie in one component are then done. In
 what is left only classes of different components meet, in tiles of bounded size
-that compare signatures as matrices. Links go to connected components.
+that compare signatures as matrices, each pair in the first bucket that it shares.
+Classes with a near partner there get their sets and are compared in the same
+tiles, so no pairs are written, only links. Links go to connected components.
 
 Defined results: documents without words have an empty set, are in a component of
 their own and are kept; rows without id are never linked and are kept; rows with
@@ -37,6 +39,8 @@ BANDS, ROWS, HASHES = 24, 4, 192
 #: Classes on a side of a tile, and pairs of a leader that go to one salt.
 TILE, SALT = 1024, 1000
 SIGMAS = 5.0
+#: Bits of the map that keeps texts nobody asks for out of the exchange.
+MAP_BITS = 1 << 23
 
 _RNG = np.random.default_rng(20_240_601)
 _A = _RNG.integers(0, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
@@ -122,6 +126,29 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, set binary")
 
 
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Sets of the wanted documents, as a table.
+
+    A bitmap of fixed size, by hash of the id, goes to all scans first, so the
+    exchange moves few other texts; the join that follows is exact.
+    """
+    word = F.pmod(F.xxhash64("doc"), F.lit(MAP_BITS))
+    words = wanted.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {MAP_BITS}) % 64 as int))")).alias("bits")).collect()
+    bitmap = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words:
+        bitmap[r["at"]] = r["bits"]
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
+    hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.array(batch.column(2))
+            yield batch.select([0, 1]).filter(pa.array((shipped.value[h >> 6] >> (h & 63) & 1).astype(bool)))
+
+    some = hashed.select("doc_id", "text", "h").mapInArrow(asked, "doc_id long, text string")
+    return written(_sets(some.join(wanted, some.doc_id == wanted.doc, "left_semi"), shingle), "sets")
+
+
 def similar(a: bytes, b: bytes, percent: int) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -161,7 +188,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
     pairs = written(pairs, "pairs")
     close = written(_paired(pairs, signed, "signature").mapInArrow(near, "doc long, leader long"), "close")
     wanted = close.select("doc").unionByName(close.select(F.col("leader").alias("doc"))).distinct()
-    sets = written(_sets(docs.join(wanted, docs.doc_id == wanted.doc, "left_semi"), shingle), "sets")
+    sets = _wanted_sets(docs, written(wanted, "wanted"), shingle)
     return _paired(close, sets, "set").mapInArrow(same, "doc long, leader long").select(F.col("doc").alias("u"), F.col("leader").alias("v"))
 
 
@@ -182,49 +209,77 @@ def _led(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(leaders, "key").where("comp != led").select("doc", "leader").distinct()
 
 
-def _tiled(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Candidates between components of a bucket, by signatures in tiles.
+def _tiled(rows: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components of a bucket, found in tiles.
 
     The members of a bucket's largest component stay at home in one tile row each;
     all others go to every tile row, and also have a home. Both sides are cut.
     """
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("n")).select("key", F.col("x.comp").alias("main"), F.ceil(F.col("n") / TILE).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("x.m")) / TILE).cast("int").alias("guests"))
-    rows = rows.drop("n").join(written(main, "mains"), "key").join(signed.select("doc", "signature"), "doc")
+    rows = rows.drop("n").join(written(main, "mains"), "key").join(signed.select("doc", "signature", "bands"), "doc")
     hashed = lambda n, seed: F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), n).cast("int")
-    home = rows.select("key", hashed(F.col("homes"), 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("y"), F.lit(True).alias("home"), "doc", "comp", "signature")
-    guest = rows.where("comp != main").select("key", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("x"), hashed(F.col("guests"), 2).alias("y"), F.lit(False).alias("home"), "doc", "comp", "signature")
+    home = rows.select("key", hashed(F.col("homes"), 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("y"), F.lit(True).alias("home"), "doc", "comp", "signature", "bands")
+    guest = rows.where("comp != main").select("key", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("x"), hashed(F.col("guests"), 2).alias("y"), F.lit(False).alias("home"), "doc", "comp", "signature", "bands")
     least = least_agreement(percent)
 
-    def meet(_, table):
-        home = np.array(table.column("home"))
-        doc, comp = np.array(table.column("doc")), np.array(table.column("comp"))
+    def pairs(table):
+        """(guest, hosts near to it) by row; a pair belongs to the first bucket it shares."""
+        home, doc, comp = (np.array(table.column(c)) for c in ("home", "doc", "comp"))
+        key = table.column("key")[0].as_py()
         bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-        hosts, guests = np.flatnonzero(home), np.flatnonzero(~home)
-        mine, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for g in guests.tolist():
-            near = hosts[(comp[hosts] != comp[g])]
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        hosts = np.flatnonzero(home)
+        for g in np.flatnonzero(~home).tolist():
+            near = hosts[comp[hosts] != comp[g]]
             near = near[(bits[near] == bits[g]).sum(1) >= least]
-            mine.append(np.full(len(near), doc[g]))
-            other.append(doc[near])
-        return pa.table({"doc": np.concatenate(mine), "leader": np.concatenate(other)})
-
-    met = home.unionByName(guest).groupBy("key", "x", "y").applyInArrow(meet, "doc long, leader long")
-    return met.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            if len(near):
+                shared = bands[near] == bands[g]
+                near = near[bands[g][shared.argmax(1)] == key]
+            if len(near):
+                yield g, near, doc, comp
+
+    def meet(table):
+        met = np.zeros(table.num_rows, bool)
+        for g, near, _, _ in pairs(table):
+            met[g] = True
+            met[near] = True
+        return table.filter(pa.array(met))
+
+    def check(table):
+        sets, root, found = table.column("set").to_pylist(), {}, []
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        for g, near, doc, comp in pairs(table):
+            for h in near.tolist():
+                a, b = find(int(comp[g])), find(int(comp[h]))
+                if a != b and similar(sets[g], sets[h], percent):
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(doc[g]), int(doc[h])))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    tile = "key long, x int, y int, home boolean, doc long, comp long, signature binary, bands array<long>"
+    met = written(home.unionByName(guest).groupBy("key", "x", "y").applyInArrow(meet, tile), "met")
+    sets = _wanted_sets(docs, written(met.select("doc").distinct(), "wanted"), shingle)
+    return met.join(sets, "doc").groupBy("key", "x", "y").applyInArrow(check, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = written(sign(docs, shingle, id_col, text_col), "signed")
     some = signed.where("digest is not null and doc_id is not null")
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     reps = written(some.join(classes, [some.digest == classes.digest, some.doc_id == classes["class"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "bands", "signature"), "reps")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _unsettled(reps.select(F.explode("bands").alias("key"), "doc"), None)
     links = roots = None
     for turn in range(rounds + 1):
-        pairs = _led(rows, turn) if turn < rounds else _tiled(rows, reps, percent)
-        found = written(_verified(pairs, reps, texts, shingle, percent), "links")
+        found = _verified(_led(rows, turn), reps, texts, shingle, percent) if turn < rounds else _tiled(rows, reps, texts, shingle, percent)
+        found = written(found, "links")
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links)
         if turn < rounds:
