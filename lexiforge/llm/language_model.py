@@ -8,9 +8,9 @@ truncated backpropagation over windows; the state goes on from window to window,
 in training and in scoring, so that the score is that of the complete document.
 
 Counts are of all training documents. The weights are learnt in rounds: in each,
-every partition trains a copy on its own share of the training documents, chosen
-by hash, and the copies are averaged by the tokens they saw. The share is a
-fixed fraction of the corpus, so what is learnt from grows with it.
+every partition trains a copy on its own part of that round's training documents,
+dealt to rounds by hash, and the copies are averaged by the tokens they saw. All
+rounds together learn from every training document once (`fraction` may lower it).
 
 Counts of frequent words (a bounded number) are broadcast. All others are joined:
 each document sends the words that it lacks counts for. Words are known by 64-bit
@@ -42,8 +42,11 @@ from .shared import documents, written
 VOCABULARY, CLASS_SIZE, HIDDEN = 4096, 64, 32
 #: Frequent words whose counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 18
-ROUNDS, FRACTION = 2, 0.04
-LANES, WINDOW, RATE = 64, 16, 0.05
+ROUNDS, FRACTION = 2, 1.0
+#: Lanes at first and at most: they double after every so many windows, which makes tokens cheaper.
+LANES, MOST_LANES, WINDOWS, WINDOW, RATE = 64, 512, 64, 16, 0.05
+#: Tokens of documents that wait for a lane.
+WAITING = 1 << 18
 #: Fingerprint of the end of a text, which no word has but by chance.
 END = np.uint64(0x1D8E4E27C47D124F)
 FLUSH = 1 << 20
@@ -154,7 +157,7 @@ class GRU:
         self.b[:h] = 1.0  # the update gate keeps the state at first
         self.class_w, self.class_b = small(h, n), np.log(smooth.sum(1)).astype(np.float32)
         self.word_w, self.word_b = small(n, h, CLASS_SIZE), np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
-        self.hidden = h
+        self.hidden, self.seen = h, 0
 
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
@@ -250,11 +253,13 @@ class GRU:
         lanes, steps = inputs.shape
         k, u3 = self.hidden, self.u
         h, kept = h0, []
+        read = self.embed[np.maximum(inputs.T.ravel(), 0)]
+        read[inputs.T.ravel() < 0] = 0  # a document's first word follows no word
+        read = (read @ self.w + self.b).reshape(steps, lanes, -1)
         for t in range(steps):
-            h = np.where(fresh[:, t : t + 1], 0, h)
-            first = inputs[:, t] < 0  # a document's first word follows no word
-            x = np.where(first[:, None], self.b, self.embed[np.maximum(inputs[:, t], 0)] @ self.w + self.b)
-            z, r, c, rec = self.gates(x, h)
+            if fresh[:, t].any():
+                h = np.where(fresh[:, t : t + 1], 0, h)
+            z, r, c, rec = self.gates(read[t], h)
             after = c + z * (h - c)
             kept.append((h, z, r, c, rec))
             h = after
@@ -299,7 +304,9 @@ class GRU:
             d_x[:, t, :k], d_x[:, t, k : 2 * k], d_x[:, t, 2 * k :] = dz, dr, dc
             d_rec = np.concatenate([dz, dr, dc * r], 1)
             g["u"] += before.T @ d_rec
-            back = np.where(fresh[:, t : t + 1], 0, dh * z + d_rec @ u3.T)
+            back = dh * z + d_rec @ u3.T
+            if fresh[:, t].any():
+                back = np.where(fresh[:, t : t + 1], 0, back)
         flat_x, words = d_x.reshape(-1, 3 * k), inputs.ravel()
         g["b"] = flat_x.sum(0)
         some = np.flatnonzero(words >= 0)
@@ -333,44 +340,61 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
     """Train on documents (places with the end) and return the tokens seen.
 
     Every lane reads one document after the other; its state goes on between
-    windows and starts anew with a document.
+    windows and starts anew with a document, which begins a window. Lanes double
+    while there are documents to read, and lanes without any go.
     """
-    steps, seen = Adagrad(model, rate), 0
-    current: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
-    at = [0] * lanes
-    h = np.zeros((lanes, model.hidden), np.float32)
-    more = True
-    while more:
-        inputs = np.full((lanes, window), -1)
-        targets, fresh = np.full((lanes, window), -1), np.zeros((lanes, window), bool)
-        for lane in range(lanes):
-            t = 0
-            while t < window:
-                if at[lane] >= len(current[lane]):
-                    nxt = next(documents_, None)
-                    if nxt is None:
-                        break
-                    current[lane], at[lane] = nxt, 0
-                    fresh[lane, t] = True
-                n = min(window - t, len(current[lane]) - at[lane])
-                a = at[lane]
-                targets[lane, t : t + n] = current[lane][a : a + n]
-                inputs[lane, t + (a == 0) : t + n] = current[lane][a - 1 + (a == 0) : a + n - 1]
-                at[lane], t = a + n, t + n
-        n = int((targets >= 0).sum())
-        seen += n
-        more = n > 0
-        if more:
-            gradients, h = model.gradients(inputs, targets, h, fresh)
-            steps.step(gradients)
-    return seen
+    steps, seen, turns, most = Adagrad(model, rate), 0, 0, max(lanes, MOST_LANES)
+    held = np.zeros(0, np.int64)  # tokens of the documents being read or waiting
+    at, end, waiting = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
+    fresh, h, more = np.zeros(lanes, bool), np.zeros((lanes, model.hidden), np.float32), True
+    while True:
+        free = np.flatnonzero(at >= end)
+        if len(free) > len(waiting) and more:
+            # A lane keeps the token before its place, as the next input.
+            back = np.where(fresh | (at >= end), 0, 1)
+            parts, size = [held[a - k : b] for a, b, k in zip(at, end, back, strict=True)], 0
+            at, base = np.cumsum([0, *map(len, parts)])[:-1] + back, sum(map(len, parts))
+            end = at - back + [len(p) for p in parts]
+            todo = [held[a:b] for a, b in waiting]
+            while size < WAITING or len(todo) < len(free):
+                if (doc := next(documents_, None)) is None:
+                    more = False
+                    break
+                todo.append(doc)
+                size += len(doc)
+            cuts = (base + np.cumsum([0, *map(len, todo)])).tolist()
+            waiting = list(zip(cuts[:-1], cuts[1:], strict=True))[::-1]
+            held = np.concatenate([*parts, *todo]) if parts or todo else held
+        for lane in free[: len(waiting)].tolist():
+            at[lane], end[lane] = waiting.pop()
+            fresh[lane] = True
+        if not more and not waiting and (at >= end).any():
+            left = at < end
+            at, end, fresh, h = at[left], end[left], fresh[left], h[left]
+        if not len(at):
+            return seen
+        places = at[:, None] + np.arange(window)
+        here = places < end[:, None]
+        targets = np.where(here, held[np.minimum(places, len(held) - 1)], -1)
+        inputs = np.where(here, held[np.clip(places - 1, 0, len(held) - 1)], -1)
+        inputs[fresh, 0] = -1
+        begun = np.zeros((len(at), window), bool)
+        begun[:, 0] = fresh
+        gradients, h = model.gradients(inputs, targets, h, begun)
+        steps.step(gradients)
+        seen += int(here.sum())
+        at, fresh, turns = np.minimum(at + window, end), np.zeros(len(at), bool), turns + 1
+        if turns % WINDOWS == 0 and more and len(at) < most:
+            n = min(len(at), most - len(at))
+            at, end = np.append(at, np.zeros(n, np.int64)), np.append(end, np.zeros(n, np.int64))
+            fresh, h = np.append(fresh, np.zeros(n, bool)), np.concatenate([h, np.zeros((n, model.hidden), h.dtype)])
 
 
 _PART = 1 << 14
 
 
-def _averaged(found: DataFrame, size: int) -> np.ndarray | None:
-    """Weights averaged by tokens seen: by part and lane first, then by part."""
+def _averaged(found: DataFrame, size: int) -> tuple[np.ndarray, int] | None:
+    """Weights averaged by tokens seen, by part and lane first, then by part; and the tokens."""
 
     def mean(table):
         n = np.array(table.column("n"), dtype=np.float64)
@@ -385,11 +409,11 @@ def _averaged(found: DataFrame, size: int) -> np.ndarray | None:
     out = np.zeros(size, np.float32)
     for r in rows:
         out[r.part * _PART : r.part * _PART + len(r.w) // 4] = np.frombuffer(r.w, np.float32)
-    return out
+    return out, rows[0].n
 
 
 def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text") -> GRU:
-    """Rounds of training in all partitions and averaging."""
+    """Rounds of training in all partitions and averaging; `seen` of the model is the tokens it learnt from."""
     model, sc = GRU(vocabulary), docs.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
     chosen = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(5)), F.lit(1_000_000)).alias("share"))
@@ -419,8 +443,9 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
                 )
 
         share = chosen.where((F.col("share") >= low) & (F.col("share") < high)).select("i", "t")
-        if (flat := _averaged(share.mapInArrow(run, "part int, lane int, n long, w binary"), len(model.flat()))) is not None:
-            model.load(flat)
+        if (averaged := _averaged(share.mapInArrow(run, "part int, lane int, n long, w binary"), len(model.flat()))) is not None:
+            model.load(averaged[0])
+            model.seen += averaged[1]
     return model
 
 

@@ -120,3 +120,33 @@ def test_held_out_documents_beat_the_base(spark):
     got = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), fraction=0.25).where("held_out").collect()
     assert sum(r.score for r in got) > 0.985 * sum(r.base_score for r in got)
     print("score against base:", sum(r.score for r in got) / sum(r.base_score for r in got))
+
+
+def test_learns_from_every_training_document(spark):
+    """At the defaults: all training tokens are learnt from, and held-out documents gain."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    vocabulary = lm.build_vocabulary(lm.count_tokens(docs))
+    assert lm.learn(docs, vocabulary).seen == vocabulary.total
+    got = lm.score_documents(docs).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.985 * sum(r.base_score for r in got)
+    print("score against base:", sum(r.score for r in got) / sum(r.base_score for r in got))
+
+
+def test_lanes_that_grow_read_every_token_once():
+    class Seen:
+        hidden = 1
+
+        def weights(self):
+            return []
+
+        def gradients(self, inputs, targets, h, fresh):
+            for x, y, f in zip(inputs, targets, fresh, strict=True):
+                ok = y >= 0
+                assert not f[1:].any() and (ok[:-1] >= ok[1:]).all()
+                read.extend(zip(x[ok].tolist(), y[ok].tolist(), strict=True))
+            return [], h
+
+    read, rng = [], np.random.default_rng(4)
+    docs = [rng.integers(0, 1000, n) for n in [*rng.integers(1, 90, 3000), 5000]]
+    assert lm.train(Seen(), iter(docs), lanes=4) == sum(map(len, docs))
+    assert Counter(read) == Counter((a, b) for d in docs for a, b in zip([-1, *d[:-1].tolist()], d.tolist(), strict=True))
