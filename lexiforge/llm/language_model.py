@@ -1,8 +1,10 @@
 """LM scoring with a gated recurrent language model in numpy.
 
 The model is a GRU over words. Its output softmax is factored: a distribution
-over frequency classes and one over the words of the class. Words outside its
-vocabulary are one symbol, whose probability is shared among them by their counts
+over frequency classes and one over the words of the class; classes of words that
+aren't among the 4096 most frequent are factored further, so that the vocabulary
+grows with the counts that are broadcast, but for words met less than 8 times, from
+which the model learns how likely unseen ones are. Words outside it are one symbol, whose probability is shared among them by their counts
 in all training documents, so every text has a probability. Training is
 truncated backpropagation over windows; the state goes on from window to window,
 in training and in scoring, so that the score is that of the complete document.
@@ -39,7 +41,11 @@ from . import textscan as ts
 from .shared import documents, written
 
 #: Words of the softmax, with the symbol for all others; words of a class; widths.
-VOCABULARY, CLASS_SIZE, HIDDEN = 4096, 64, 32
+VOCABULARY, CLASS_SIZE, HIDDEN = 1 << 18, 64, 32
+#: Words of plain classes; words of a larger class of the rest, and of a leaf in it.
+HEAD, SUPER, LEAF = 4096, 4096, 16
+#: Words met less often have no output: held-out documents hold more of them than their counts say.
+LEAST_COUNT = 8
 #: Frequent words whose counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 18
 ROUNDS, FRACTION = 2, 1.0
@@ -102,7 +108,7 @@ class Vocabulary:
     keys: np.ndarray  # fingerprints of frequent words, sorted
     counts: np.ndarray
     place: np.ndarray  # of each key; 0 if outside
-    size: int  # places, a multiple of the class size
+    size: int  # places, a multiple of the class size; beyond HEAD, of SUPER
     unigram: np.ndarray  # counts by place
     total: int  # N
     distinct: int  # V
@@ -130,8 +136,10 @@ def build_vocabulary(counts: DataFrame, size: int = VOCABULARY, frequent: int =
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     keys, numbers = np.array(top.column("word")).astype(np.int64).view(np.uint64), np.array(top.column("c")).astype(np.int64)
-    inside = min(size - 1, len(keys))
+    inside = min(size - 1, int((numbers >= LEAST_COUNT).sum()))
     size = max(CLASS_SIZE, -(-(inside + 1) // CLASS_SIZE) * CLASS_SIZE)
+    if size > HEAD:
+        size = HEAD + -(-(inside + 1 - HEAD) // SUPER) * SUPER
     place = np.zeros(len(keys), np.int64)
     place[:inside] = np.arange(1, inside + 1)
     unigram = np.zeros(size, np.int64)
@@ -144,33 +152,69 @@ def build_vocabulary(counts: DataFrame, size: int = VOCABULARY, frequent: int =
 class GRU:
     """Weights, forward pass and truncated backpropagation."""
 
-    NAMES = ("embed", "w", "u", "b", "class_w", "class_b", "word_w", "word_b")
+    DENSE = ("embed", "w", "u", "b", "class_w", "class_b", "word_w", "word_b")
+    #: Of the words beyond HEAD: leaves of a larger class, and a row of each word as input and as output.
+    TAIL = ("mid_w", "mid_b", "tail_in", "tail_out")
 
     def __init__(self, vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 11):
         rng = np.random.default_rng(seed)
-        v, h, n = vocabulary.size, hidden, vocabulary.size // CLASS_SIZE
+        head, h = min(vocabulary.size, HEAD), hidden
+        tail = vocabulary.size - head
+        self.head, self.plain = head, head // CLASS_SIZE
+        n = self.plain + tail // SUPER
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         smooth = vocabulary.unigram + 0.5
-        smooth = (smooth / smooth.sum()).reshape(n, CLASS_SIZE)
-        self.embed, self.w, self.u = small(v, h), small(h, 3 * h) * 3, small(h, 3 * h) * 2
+        smooth = smooth / smooth.sum()
+        words, rest = smooth[:head].reshape(-1, CLASS_SIZE), smooth[head:].reshape(-1, SUPER // LEAF, LEAF)
+        self.embed, self.w, self.u = small(head, h), small(h, 3 * h) * 3, small(h, 3 * h) * 2
         self.b = np.zeros(3 * h, np.float32)
         self.b[:h] = 1.0  # the update gate keeps the state at first
-        self.class_w, self.class_b = small(h, n), np.log(smooth.sum(1)).astype(np.float32)
-        self.word_w, self.word_b = small(n, h, CLASS_SIZE), np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
+        self.class_w, self.class_b = small(h, n), np.log(np.concatenate([words.sum(1), rest.sum((1, 2))])).astype(np.float32)
+        self.word_w, self.word_b = small(self.plain, h, CLASS_SIZE), np.log(words / words.sum(1, keepdims=True)).astype(np.float32)
+        self.NAMES = self.DENSE
+        if tail:  # all zero at first: words by their counts
+            self.NAMES = self.DENSE + self.TAIL
+            self.mid_w, self.mid_b = np.zeros((len(rest), h, SUPER // LEAF), np.float32), np.log(rest.sum(2) / rest.sum((1, 2))[:, None]).astype(np.float32)
+            self.tail_in, self.tail_out = np.zeros((tail, h), np.float32), np.zeros((tail, h + 1), np.float32)
+            self.counted = np.log(rest).astype(np.float32).reshape(-1, LEAF)
         self.hidden, self.seen = h, 0
 
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
+    def shared(self) -> list[str]:
+        """Names of the weights that are averaged as a whole, not by rows."""
+        return [n for n in self.NAMES if n[:4] != "tail"]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.weights()])
+        return np.concatenate([getattr(self, n).ravel() for n in self.shared()])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name, x in zip(self.NAMES, self.weights(), strict=True):
+        for name in self.shared():
+            x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
 
+    def read(self, places: np.ndarray) -> np.ndarray:
+        """Rows of words as input."""
+        out = self.embed[np.minimum(places, self.head - 1)]
+        if len(self.NAMES) > len(self.DENSE):
+            rest = np.flatnonzero(places >= self.head)
+            out[rest] = self.tail_in[places[rest] - self.head]
+        return out
+
+    def kinds(self, places: np.ndarray) -> np.ndarray:
+        """The class of each word."""
+        return np.where(places < self.head, places // CLASS_SIZE, self.plain + (places - self.head) // SUPER)
+
+    def leaves(self, states: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the words of each state's leaf, and the words' rows."""
+        rows = self.tail_out.reshape(-1, LEAF, self.hidden + 1)[leaf].astype(states.dtype)
+        p = self.counted[leaf] + np.matmul(rows[:, :, :-1], states[:, :, None])[:, :, 0] + rows[:, :, -1]
+        p = np.exp(p - p.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True), rows
+
     def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """z (how much is kept), r, the candidate and its recurrent part."""
         k = self.hidden
@@ -190,22 +234,28 @@ class GRU:
         return z, r, c, rec[:, 2 * k :]
 
     def table(self) -> np.ndarray:
-        """The input's part of the gates, for every word."""
+        """The input's part of the gates, for the words of plain classes."""
         return self.embed @ self.w + self.b
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of P(target | state), by class and word."""
         logits = states @ self.class_w + self.class_b
         top = logits.max(1)
-        kind = target // CLASS_SIZE
+        kind = self.kinds(target)
         out = logits[np.arange(len(target)), kind] - top - np.log(np.exp(logits - top[:, None]).sum(1))
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.word_w) + 1))
+        bounds = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
-            at = order[bounds[k] : bounds[k + 1]]
-            logits = states[at] @ self.word_w[k] + self.word_b[k]
+            at, j = order[bounds[k] : bounds[k + 1]], k - self.plain
+            w, b, y = (self.word_w[k], self.word_b[k], target[at] % CLASS_SIZE) if j < 0 else (self.mid_w[j], self.mid_b[j], (target[at] - self.head) % SUPER // LEAF)
+            logits = states[at] @ w + b
             top = logits.max(1)
-            out[at] += logits[np.arange(len(at)), target[at] % CLASS_SIZE] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            out[at] += logits[np.arange(len(at)), y] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        rest = order[bounds[self.plain] :]
+        for a in range(0, len(rest), 4096):
+            at = rest[a : a + 4096]
+            place = target[at] - self.head
+            out[at] += np.log(self.leaves(states[at], place // LEAF)[0][np.arange(len(at)), place % LEAF])
         return out
 
     def score(self, places: np.ndarray, bounds: np.ndarray, window: int = 32, step_rows: int = 1 << 15) -> np.ndarray:
@@ -231,7 +281,9 @@ class GRU:
                 target = places[begin[:alive] + t]
                 held.append((h, target))
                 rows += alive
-                x = table[target]
+                x = table[np.minimum(target, self.head - 1)]
+                if len(rest := np.flatnonzero(target >= self.head)):
+                    x[rest] = self.tail_in[target[rest] - self.head].astype(np.float32) @ self.w + self.b
                 t += 1
                 if rows >= step_rows or t == longest or len(held) >= 256:
                     scored = self.log_probability(np.concatenate([s for s, _ in held]), np.concatenate([y for _, y in held]))
@@ -253,7 +305,7 @@ class GRU:
         lanes, steps = inputs.shape
         k, u3 = self.hidden, self.u
         h, kept = h0, []
-        read = self.embed[np.maximum(inputs.T.ravel(), 0)]
+        read = self.read(np.maximum(inputs.T.ravel(), 0))
         read[inputs.T.ravel() < 0] = 0  # a document's first word follows no word
         read = (read @ self.w + self.b).reshape(steps, lanes, -1)
         for t in range(steps):
@@ -270,7 +322,7 @@ class GRU:
         d_states = np.zeros_like(states)
         g: dict = {"u": np.zeros_like(self.u)}
         s, y = states[ok], flat[ok]
-        kind = y // CLASS_SIZE
+        kind = self.kinds(y)
         p = s @ self.class_w + self.class_b
         p = np.exp(p - p.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -279,19 +331,36 @@ class GRU:
         g["class_w"], g["class_b"] = s.T @ p, p.sum(0)
         d = p @ self.class_w.T
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.word_w) + 1))
-        met = np.flatnonzero(np.diff(bounds))
-        word_w, word_b = np.zeros((len(met), *self.word_w.shape[1:]), s.dtype), np.zeros((len(met), CLASS_SIZE), s.dtype)
-        for row, q in enumerate(met.tolist()):
-            at = order[bounds[q] : bounds[q + 1]]
-            p = s[at] @ self.word_w[q] + self.word_b[q]
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), y[at] % CLASS_SIZE] -= 1
+        bounds = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
+        levels = [("word", 0, self.plain, y % CLASS_SIZE)]
+        if len(self.NAMES) > len(self.DENSE):
+            levels.append(("mid", self.plain, len(self.class_b), (y - self.head) % SUPER // LEAF))
+        for name, low, high, said in levels:
+            w, b = getattr(self, name + "_w"), getattr(self, name + "_b")
+            met = np.flatnonzero(np.diff(bounds[low : high + 1]))
+            g_w, g_b = np.zeros((len(met), *w.shape[1:]), s.dtype), np.zeros((len(met), b.shape[1]), s.dtype)
+            for row, q in enumerate(met.tolist()):
+                at = order[bounds[low + q] : bounds[low + q + 1]]
+                p = s[at] @ w[q] + b[q]
+                p = np.exp(p - p.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(at)), said[at]] -= 1
+                p *= scale
+                g_w[row], g_b[row] = s[at].T @ p, p.sum(0)
+                d[at] += p @ w[q].T
+            g[name + "_w"], g[name + "_b"] = (met, g_w), (met, g_b)
+        if len(levels) > 1:
+            at = order[bounds[self.plain] :]
+            at = at[np.argsort(y[at], kind="stable")]
+            place = y[at] - self.head
+            p, rows = self.leaves(s[at], place // LEAF)
+            p[np.arange(len(at)), place % LEAF] -= 1
             p *= scale
-            word_w[row], word_b[row] = s[at].T @ p, p.sum(0)
-            d[at] += p @ self.word_w[q].T
-        g["word_w"], g["word_b"] = (met, word_w), (met, word_b)
+            d[at] += np.matmul(p[:, None], rows[:, :, :-1])[:, 0]
+            met, first = np.unique(place // LEAF, return_index=True)
+            each = p[:, :, None] * np.concatenate([s[at], np.ones((len(at), 1), s.dtype)], 1)[:, None]
+            summed = np.add.reduceat(each, first) if len(met) else each
+            g["tail_out"] = (met[:, None] * LEAF + np.arange(LEAF)).ravel(), summed.reshape(-1, k + 1)
         d_states[ok] = d
         d_states = d_states.reshape(lanes, steps, k)
         back, d_x = np.zeros((lanes, k), np.float32), np.zeros((lanes, steps, 3 * k), np.float32)
@@ -310,25 +379,30 @@ class GRU:
         flat_x, words = d_x.reshape(-1, 3 * k), inputs.ravel()
         g["b"] = flat_x.sum(0)
         some = np.flatnonzero(words >= 0)
-        g["w"] = self.embed[words[some]].T @ flat_x[some]
+        g["w"] = self.read(words[some]).T @ flat_x[some]
         order = some[np.argsort(words[some], kind="stable")]
         rows, first = np.unique(words[order], return_index=True)
-        g["embed"] = rows, np.add.reduceat(flat_x[order] @ self.w.T, first) if len(rows) else np.zeros((0, k), np.float32)
+        each = np.add.reduceat(flat_x[order] @ self.w.T, first) if len(rows) else np.zeros((0, k), np.float32)
+        cut = np.searchsorted(rows, self.head)
+        g["embed"], g["tail_in"] = (rows[:cut], each[:cut]), (rows[cut:] - self.head, each[cut:])
         return [g[n] for n in self.NAMES], h
 
 
 class Adagrad:
-    """Steps scaled by past gradients; rows without a gradient aren't touched."""
+    """Steps scaled by past gradients; rows without a gradient aren't touched.
+
+    Rows of words beyond HEAD have one scale each, which keeps them small.
+    """
 
     def __init__(self, model: GRU, rate: float = RATE):
         self.model, self.rate = model, rate
-        self.past = [np.full_like(x, 1e-6) for x in model.weights()]
+        self.past = [np.full_like(x[:, :1] if n[:4] == "tail" else x, 1e-6) for n, x in zip(getattr(model, "NAMES", ()), model.weights(), strict=True)]
 
     def step(self, gradients: list) -> None:
         for x, g, v in zip(self.model.weights(), gradients, self.past, strict=True):
             if isinstance(g, tuple):
                 rows, g = g
-                mine = v[rows] + g * g
+                mine = v[rows] + (g * g if v.shape == x.shape else (g * g).mean(1, keepdims=True))
                 v[rows] = mine
                 x[rows] -= self.rate * g / np.sqrt(mine)
             else:
@@ -390,26 +464,66 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
             fresh, h = np.append(fresh, np.zeros(n, bool)), np.concatenate([h, np.zeros((n, model.hidden), h.dtype)])
 
 
-_PART = 1 << 14
+_PART, _ROWS = 1 << 14, 256
 
 
-def _averaged(found: DataFrame, size: int) -> tuple[np.ndarray, int] | None:
-    """Weights averaged by tokens seen, by part and lane first, then by part; and the tokens."""
+def _changes(width: int) -> np.dtype:
+    """A changed row of words beyond HEAD: its place in the part, tokens seen, and the change in 8 bits."""
+    return np.dtype([("i", "u1"), ("n", "f4"), ("scale", "f4"), ("d", "i1", (width,))])
+
+
+def _packed(rows: np.ndarray, n: np.ndarray, change: np.ndarray) -> bytes:
+    out = np.zeros(len(rows), _changes(change.shape[1]))
+    scale = np.abs(change).max(1, initial=0) / 127
+    out["i"], out["n"], out["scale"] = rows, n, scale
+    out["d"] = np.rint(change / np.maximum(scale, 1e-30)[:, None])
+    return out.tobytes()
+
+
+def _unpacked(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(packed, _changes(width))
+    return x["i"], x["n"], x["d"] * x["scale"][:, None]
+
+
+def _averaged(found: DataFrame, model: GRU) -> int:
+    """Load weights averaged by tokens seen, and return the tokens.
+
+    Parts of the shared weights are averaged by part and lane first, then by part.
+    Negative parts are changed rows, each averaged over those who changed it.
+    """
+    width = 2 * model.hidden + 1
 
     def mean(table):
         n = np.array(table.column("n"), dtype=np.float64)
-        rows = np.stack([np.frombuffer(b, np.float32) for b in table.column("w").to_pylist()])
-        w = (rows * (n / n.sum())[:, None]).sum(0).astype(np.float32)
-        return pa.table({"part": table.column("part")[:1], "lane": pa.array([0], pa.int32()), "n": pa.array([int(n.sum())]), "w": pa.array([w.tobytes()], pa.binary())})
+        if table.column("part")[0].as_py() < 0:
+            total, change = np.zeros(_ROWS), np.zeros((_ROWS, width), np.float32)
+            for b in table.column("w").to_pylist():
+                i, weight, d = _unpacked(b, width)
+                total[i] += weight
+                change[i] += d * weight[:, None]
+            some = np.flatnonzero(total)
+            w = _packed(some, total[some], change[some] / total[some, None].astype(np.float32))
+        else:
+            rows = np.stack([np.frombuffer(b, np.float32) for b in table.column("w").to_pylist()])
+            w = (rows * (n / n.sum())[:, None]).sum(0).astype(np.float32).tobytes()
+        return pa.table({"part": table.column("part")[:1], "lane": pa.array([0], pa.int32()), "n": pa.array([int(n.sum())]), "w": pa.array([w], pa.binary())})
 
     schema = "part int, lane int, n long, w binary"
     rows = found.groupBy("part", "lane").applyInArrow(mean, schema).groupBy("part").applyInArrow(mean, schema).collect()
     if not rows:
-        return None
-    out = np.zeros(size, np.float32)
+        return 0
+    flat, seen = model.flat(), 0
     for r in rows:
-        out[r.part * _PART : r.part * _PART + len(r.w) // 4] = np.frombuffer(r.w, np.float32)
-    return out, rows[0].n
+        if r.part >= 0:
+            flat[r.part * _PART : r.part * _PART + len(r.w) // 4] = np.frombuffer(r.w, np.float32)
+            seen = r.n
+        else:
+            i, _, d = _unpacked(r.w, width)
+            at = (-1 - r.part) * _ROWS + i.astype(np.int64)
+            model.tail_in[at] += d[:, : model.hidden]
+            model.tail_out[at] += d[:, model.hidden :]
+    model.load(flat)
+    return seen
 
 
 def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text") -> GRU:
@@ -419,11 +533,15 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
     chosen = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(5)), F.lit(1_000_000)).alias("share"))
     for turn in range(rounds):
         low, high = (int(1e6 * fraction * k / rounds) for k in (turn, turn + 1))
-        shipped = sc.broadcast(model.flat())
+        shipped = sc.broadcast(model if turn else None)  # the first is made by its seed
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            mine = GRU(words.value)
-            mine.load(shipped.value)
+            mine, before = GRU(words.value), shipped.value
+            tail = len(mine.NAMES) > len(mine.DENSE)
+            if before is not None:
+                mine.load(before.flat())
+                if tail:
+                    mine.tail_in[:], mine.tail_out[:] = before.tail_in, before.tail_out
 
             def places() -> Iterator[np.ndarray]:
                 for batch in batches:
@@ -436,16 +554,20 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
             seen = train(mine, places())
             if seen:
                 flat, lane = mine.flat(), TaskContext.get().partitionId() % 16
-                parts = range(-(-len(flat) // _PART))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(parts), pa.int32()), pa.array([lane] * len(parts), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([flat[k * _PART : (k + 1) * _PART].tobytes() for k in parts], pa.binary())],
-                    names=["part", "lane", "n", "w"],
-                )
+                found = [(k, lane, flat[k * _PART : (k + 1) * _PART].tobytes()) for k in range(-(-len(flat) // _PART))]
+                for a in range(0, len(mine.tail_in) if tail else 0, _ROWS):
+                    change = np.concatenate([mine.tail_in[a : a + _ROWS], mine.tail_out[a : a + _ROWS]], 1)
+                    if before is not None:
+                        change -= np.concatenate([before.tail_in[a : a + _ROWS], before.tail_out[a : a + _ROWS]], 1)
+                    if len(some := np.flatnonzero(change.any(1))):
+                        found.append((-1 - a // _ROWS, 0, _packed(some, np.full(len(some), seen), change[some])))
+                for a in range(0, len(found), 64):
+                    part, lanes, w = zip(*found[a : a + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lanes, pa.int32()), pa.array([seen] * len(part), pa.int64()), pa.array(w, pa.binary())], names=["part", "lane", "n", "w"])
 
         share = chosen.where((F.col("share") >= low) & (F.col("share") < high)).select("i", "t")
-        if (averaged := _averaged(share.mapInArrow(run, "part int, lane int, n long, w binary"), len(model.flat()))) is not None:
-            model.load(averaged[0])
-            model.seen += averaged[1]
+        model.seen += _averaged(share.mapInArrow(run, "part int, lane int, n long, w binary"), model)
+        shipped.unpersist()
     return model
 
 

@@ -150,3 +150,55 @@ def test_lanes_that_grow_read_every_token_once():
     docs = [rng.integers(0, 1000, n) for n in [*rng.integers(1, 90, 3000), 5000]]
     assert lm.train(Seen(), iter(docs), lanes=4) == sum(map(len, docs))
     assert Counter(read) == Counter((a, b) for d in docs for a, b in zip([-1, *d[:-1].tolist()], d.tolist(), strict=True))
+
+
+def large_vocabulary():
+    """4096 words of plain classes and 8192 more, of which the last are padding."""
+    unigram = np.zeros(4096 * 3, np.int64)
+    unigram[:12_001] = 1 + 100_000 // np.arange(1, 12_002)
+    return lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 4096 * 3, unigram, int(unigram.sum()), 12_000, 5, 3)
+
+
+def test_words_beyond_plain_classes():
+    model, rng = lm.GRU(large_vocabulary(), 4), np.random.default_rng(6)
+    for name, x in zip(model.NAMES, model.weights(), strict=True):
+        setattr(model, name, x.astype(np.float64) + (rng.standard_normal(x.shape) * 0.1 if name[:4] in ("tail", "mid_") else 0))
+    state = rng.standard_normal((1, 4))
+    logs = model.log_probability(np.repeat(state, 4096 * 3, 0), np.arange(4096 * 3))
+    assert abs(np.exp(logs).sum() - 1) < 1e-5
+    targets = np.array([[9, 4100, 12_000, 4101, 9000], [4100, 70, 8191, 8192, 4100]])
+    inputs = np.concatenate([np.full((2, 1), -1), targets[:, :-1]], 1)
+    fresh = np.array([[True] + [False] * 4] * 2)
+
+    def loss():
+        h, total = np.zeros((2, 4)), 0.0
+        for t in range(5):
+            x = np.where(inputs[:, t : t + 1] < 0, model.b, model.read(np.maximum(inputs[:, t], 0)) @ model.w + model.b)
+            z, _, c, _ = model.gates(x, h)
+            h = c + z * (h - c)
+            total -= model.log_probability(h, targets[:, t]).sum()
+        return total / 10
+
+    gradients, _ = model.gradients(inputs, targets, np.zeros((2, 4)), fresh)
+    for name, x, g in zip(model.NAMES, model.weights(), gradients, strict=True):
+        rows, g = g if isinstance(g, tuple) else (np.arange(len(x)), g)
+        for k in rng.choice(g.size, min(12, g.size), replace=False):
+            at = np.unravel_index(k, g.shape)
+            place = (rows[at[0]], *at[1:])
+            was = x[place]
+            x[place] = was + 1e-5
+            up = loss()
+            x[place] = was - 1e-5
+            down = loss()
+            x[place] = was
+            assert g[at] == pytest.approx((up - down) / 2e-5, abs=2e-5), name
+
+
+def test_vocabulary_grows_with_the_counts(spark):
+    """Words beyond the 4096 most frequent have outputs of their own, which learn."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = lm.count_tokens(docs)
+    vocabulary = lm.build_vocabulary(counts)
+    assert vocabulary.size > 4096 and vocabulary.outside_distinct == counts.where("c < 8").count()
+    model = lm.learn(docs, vocabulary)
+    assert np.abs(model.tail_in).max() > 0 and np.abs(model.tail_out).max() > 0
