@@ -41,7 +41,8 @@ _KEY = np.zeros(256, bool)
 _KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEX_ONLY = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
-_PLAIN_PART = re.compile(rb"[A-Za-z]*|[0-9]+|[A-Za-z]{1,12}[0-9]{1,4}|[A-Za-z]{1,4}[0-9]+")
+#: Letters are a plain part as one short word, or as words with capitals; the token test decides on longer runs.
+_PLAIN_PART = re.compile(rb"[a-z]{0,12}(?:[A-Z][a-z]{2,11}){0,3}|[A-Z]{1,12}|[0-9]+|[A-Za-z]{1,12}[0-9]{1,4}|[A-Za-z]{1,4}[0-9]+")
 
 
 def default_vocabulary() -> str:

@@ -50,6 +50,14 @@ def test_token_efficiency():
     assert not any(ss.is_random(p.encode(), path) for p in PLAIN)
 
 
+def test_keys_of_letters_only():
+    path, rng = ss.default_vocabulary(), random.Random(8)
+    upper_lower = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    caught = lambda letters, n: sum(ss.is_random("".join(rng.choices(letters, k=n)).encode(), path) for _ in range(200))
+    assert caught(upper_lower, 24) >= 196 and caught(upper_lower, 40) >= 196 and caught(upper_lower[:26], 24) >= 180
+    assert not any(ss.is_random(p, path) for p in (b"customerOrderLineItem", b"InternationalOrderService", b"antidisestablishmentarianism"))
+
+
 def test_redaction(spark):
     cases = [f"key {RANDOM} end", "clean é text", None, "token = abcdefgh12 and " + "0f" * 20, "é password: " + "ab" * 16]
     df = spark.createDataFrame(rows(cases), SCHEMA)
