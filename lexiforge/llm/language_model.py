@@ -56,6 +56,8 @@ WAITING = 1 << 18
 #: Fingerprint of the end of a text, which no word has but by chance.
 END = np.uint64(0x1D8E4E27C47D124F)
 FLUSH = 1 << 20
+#: Bytes of texts that are scored side by side.
+SCORED_BYTES = 1 << 22
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 
 
@@ -586,7 +588,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, fraction: float = FRA
         row, vocabulary, model = TaskContext.get().partitionId() << 40, words.value, shipped.value
         for batch in batches:
             ids = batch.column(0)
-            for i, j, data, offsets in ts.blocks(batch.column(1), 2 * ts.BLOCK_BYTES):
+            for i, j, data, offsets in ts.blocks(batch.column(1), SCORED_BYTES):
                 hashes, bounds = token_hashes(data, offsets)
                 place, count = vocabulary.look_up(hashes)
                 logs = np.log10(np.maximum(count, 0) + 1.0)

@@ -36,8 +36,8 @@ from .shared import documents, written
 
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, HASHES = 24, 4, 192
-#: Classes on a side of a tile, and pairs of a leader that go to one salt.
-TILE, SALT = 1024, 1000
+#: Classes on a side of a tile, bytes of their sets there, and pairs of a leader that go to one salt.
+TILE, TILE_BYTES, SALT = 1024, 16 << 20, 1000
 SIGMAS = 5.0
 #: Bits of the map that keeps texts nobody asks for out of the exchange.
 MAP_BITS = 1 << 23
@@ -129,24 +129,16 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """Sets of the wanted documents, as a table.
 
-    A bitmap of fixed size, by hash of the id, goes to all scans first, so the
-    exchange moves few other texts; the join that follows is exact.
+    A bitmap of fixed size, by hash of the id, is joined to all documents first
+    (2^17 rows at most, so broadcast), and the exchange moves few other texts;
+    the join that follows is exact. Only the sets are made in Python, so a task
+    of the scan has one worker.
     """
-    word = F.pmod(F.xxhash64("doc"), F.lit(MAP_BITS))
-    words = wanted.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {MAP_BITS}) % 64 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words:
-        bitmap[r["at"]] = r["bits"]
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
-    hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.array(batch.column(2))
-            yield batch.select([0, 1]).filter(pa.array((shipped.value[h >> 6] >> (h & 63) & 1).astype(bool)))
-
-    some = hashed.select("doc_id", "text", "h").mapInArrow(asked, "doc_id long, text string")
-    return written(_sets(some.join(wanted, some.doc_id == wanted.doc, "left_semi"), shingle), "sets")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {MAP_BITS}) % 64 as int))")
+    words = written(wanted.groupBy(F.shiftright(place("doc"), 6).alias("at")).agg(F.bit_or(bit).alias("bits")), "bitmap")
+    asked = docs.join(F.broadcast(words), F.shiftright(place("doc_id"), 6) == F.col("at")).where(f"shiftright(bits, cast(pmod(xxhash64(doc_id), {MAP_BITS}) % 64 as int)) & 1 = 1").select("doc_id", "text")
+    return written(_sets(asked.join(wanted, asked.doc_id == wanted.doc, "left_semi"), shingle), "sets")
 
 
 def similar(a: bytes, b: bytes, percent: int) -> bool:
@@ -213,11 +205,13 @@ def _tiled(rows: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, pe
     """Links between components of a bucket, found in tiles.
 
     The members of a bucket's largest component stay at home in one tile row each;
-    all others go to every tile row, and also have a home. Both sides are cut.
+    all others go to every tile row, and also have a home. Both sides are cut, by
+    classes and by the bytes of their sets, whichever makes more tiles.
     """
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("n")).select("key", F.col("x.comp").alias("main"), F.ceil(F.col("n") / TILE).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("x.m")) / TILE).cast("int").alias("guests"))
-    rows = rows.drop("n").join(written(main, "mains"), "key").join(signed.select("doc", "signature", "bands"), "doc")
+    rows = rows.drop("n").join(signed.select("doc", "signature", "bands", "n_shingles"), "doc")
+    sizes = rows.groupBy("key", "comp").agg(F.sum(F.greatest(F.lit(1 / TILE), 8 * F.col("n_shingles") / TILE_BYTES)).alias("m"), F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "m")).alias("x"), F.sum("m").alias("n")).select("key", F.col("x.comp").alias("main"), F.ceil("n").cast("int").alias("homes"), F.ceil(F.greatest(F.lit(1 / TILE), F.col("n") - F.col("x.m"))).cast("int").alias("guests"))
+    rows = rows.join(written(main, "mains"), "key")
     hashed = lambda n, seed: F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), n).cast("int")
     home = rows.select("key", hashed(F.col("homes"), 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("y"), F.lit(True).alias("home"), "doc", "comp", "signature", "bands")
     guest = rows.where("comp != main").select("key", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("x"), hashed(F.col("guests"), 2).alias("y"), F.lit(False).alias("home"), "doc", "comp", "signature", "bands")
@@ -273,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signed = written(sign(docs, shingle, id_col, text_col), "signed")
     some = signed.where("digest is not null and doc_id is not null")
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
-    reps = written(some.join(classes, [some.digest == classes.digest, some.doc_id == classes["class"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "bands", "signature"), "reps")
+    reps = written(some.join(classes, [some.digest == classes.digest, some.doc_id == classes["class"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "signature"), "reps")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _unsettled(reps.select(F.explode("bands").alias("key"), "doc"), None)
     links = roots = None

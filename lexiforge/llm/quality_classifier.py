@@ -33,6 +33,8 @@ TERMS = N_GRAMS + N_SHAPES + STYLES * STYLE_BINS
 STYLE_WEIGHT = 4.0
 #: Labelled rows that are learnt from, at most; the lowest by hash of the id.
 LABELLED = 4096
+#: Texts whose features are made at once: 4156 values each.
+BLOCK_ROWS = 1024
 RANK, NEIGHBOURS, POWER = 64, 15, 4.0
 THRESHOLD = 0.7
 
@@ -102,7 +104,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(TERMS, np.int64)
         for batch in batches:
-            for i, j, data, offsets in ts.blocks(batch.column(0)):
+            for i, j, data, offsets in ts.blocks(batch.column(0), block_rows=BLOCK_ROWS):
                 df += (features(data, offsets) > 0).sum(0)
                 n += j - i
         yield pa.RecordBatch.from_pydict({"term": np.append(np.arange(TERMS), -1), "df": np.append(df, n)})
@@ -126,7 +128,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
             ids = batch.column(0).to_pylist()
             mine = pa.array([i in shipped.value for i in ids], pa.bool_())
             batch, ids = batch.filter(mine), [i for i in ids if i in shipped.value]
-            for i, j, data, offsets in ts.blocks(batch.column(1)):
+            for i, j, data, offsets in ts.blocks(batch.column(1), block_rows=BLOCK_ROWS):
                 rows = features(data, offsets)
                 doc, term = np.nonzero(rows)
                 bounds = np.searchsorted(doc, np.arange(j - i + 1))
@@ -199,7 +201,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
         project, known, learnt = model.value
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            for i, j, data, offsets in ts.blocks(batch.column(1)):
+            for i, j, data, offsets in ts.blocks(batch.column(1), block_rows=BLOCK_ROWS):
                 score = vote(unit(features(data, offsets) @ project), known, learnt)
                 held = [x is not None and zlib.crc32(str(x).encode()) % 4 == 2 for x in ids.slice(i, j - i).to_pylist()]
                 columns = [ids.slice(i, j - i), pa.array(held), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
