@@ -8,6 +8,7 @@ from .license_scan import op7_license_scan
 from .near_dedup import op2_near_dedup
 from .packing import op10_packing
 from .quality_classifier import op6_quality_classifier
+from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op3_quality_rules
 from .secret_scan import op9_secret_scan
 from .substring_dedup import ORACLE as SUBSTRING_SQL
@@ -28,5 +29,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": QUALITY_SQL,
     "op8_substring_dedup": SUBSTRING_SQL,
 }

@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a cost and a share of documents that it rejects. Both are measured
-on a bounded sample, and the rules run in the order of rejections per cost: a
-document that one rule rejects is not looked at by the later ones. The verdict
-is the conjunction of all rules, so the order, which depends on timings, never
-changes it.
-
-Defined results: a null or empty text has no words and fails the base rule; rows
-are judged one by one, so repeated rows and repeated ids each give a row; other
-columns of the input are ignored; an empty table gives an empty result.
+Each rule has a cost and a share of documents that it rejects. Every task measures
+both on a sample, the first documents that it reads, on which it runs all rules;
+from then on rules run in the order of rejections per cost, and a rule gets a block
+of those documents alone that no earlier rule has rejected. So there is no second
+scan, no shuffle and nothing to collect. The verdict is the conjunction of all
+rules, so the order, which depends on timings, never changes it.
+
+Defined results: a null or empty text has no words and fails the base rule; a very
+long text is a block of its own; a rule's bounds are no rejection where they are
+met exactly (ties); rows are judged one by one, so repeated rows and repeated ids
+each give a row; other columns of the input are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -43,11 +46,40 @@ _LETTER[128:] = True
 
 
 class Block:
-    """A scanned block with what rules ask for, made when first asked."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.s = ts.scan(data, offsets, ts.SPACE, lower=False)
-        self.n_words = self.s.n_words
+    """Texts with what rules ask for, made when first asked."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, scan: ts.Scan | None = None):
+        self.data, self.offsets, self._scan = data, offsets, scan
+
+    @property
+    def s(self) -> ts.Scan:
+        if self._scan is None:
+            self._scan = ts.scan(self.data, self.offsets, ts.SPACE, lower=False)
+        return self._scan
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return self.s.n_words
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def only(self, docs: np.ndarray) -> Block:
+        """A block of some of the documents, with their words if they are known."""
+        if len(docs) == len(self):
+            return self
+        first, last = self.offsets[:-1][docs], self.offsets[1:][docs]
+        offsets = np.append(0, np.cumsum(last - first))
+        data = np.concatenate([self.data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)] or [self.data[:0]])
+        if self._scan is None:
+            return Block(data, offsets)
+        s, number = self._scan, np.full(len(self), -1)
+        number[docs] = np.arange(len(docs))
+        mine = np.flatnonzero(number[s.doc] >= 0)
+        doc = number[s.doc[mine]]
+        shift = (offsets[:-1] - first)[doc]
+        bounds = np.append(0, np.cumsum(s.n_words[docs]))
+        return Block(data, offsets, ts.Scan(data, offsets, s.start[mine] + shift, s.end[mine] + shift, doc, s.hash[mine], bounds))
 
     def word_chars(self) -> np.ndarray:
         s = self.s
@@ -58,7 +90,7 @@ class Block:
         return np.diff(total[s.first])
 
     def symbols(self) -> np.ndarray:
-        return ts.per_doc(_SYMBOL[self.s.data], self.s.offsets)
+        return ts.per_doc(_SYMBOL[self.data], self.offsets)
 
     def dup_lines(self) -> np.ndarray:
         s = self.s
@@ -89,64 +121,48 @@ class Block:
             covered[hit + j] = True
         return ts.per_doc(covered, s.first)
 
-    def pick(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and offsets of some documents only."""
-        s = self.s
-        if len(docs) == s.n_docs:
-            return s.data, s.offsets
-        keep = np.zeros(s.n_docs, bool)
-        keep[docs] = True
-        size = np.diff(s.offsets)
-        offsets = np.zeros(len(docs) + 1, np.int64)
-        np.cumsum(size[docs], out=offsets[1:])
-        return s.data[np.repeat(keep, size)], offsets
-
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects(block, docs)`: which of the documents with these indices fail."""
+    """`rejects(block)`: which of the block's documents fail."""
 
     name: str
-    rejects: Callable[[Block, np.ndarray], np.ndarray]
+    rejects: Callable[[Block], np.ndarray]
 
 
-def _share(block: Block, docs: np.ndarray, top: np.ndarray, base: np.ndarray) -> np.ndarray:
-    data, offsets = block.pick(docs)
-    return ts.per_doc(top[data], offsets) / np.maximum(1, ts.per_doc(base[data], offsets))
+def _share(block: Block, top: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return ts.per_doc(top[block.data], block.offsets) / np.maximum(1, ts.per_doc(base[block.data], block.offsets))
 
 
 def symbol_rule(most_per_word: float = 0.25) -> Rule:
-    def rejects(block: Block, docs: np.ndarray) -> np.ndarray:
-        data, offsets = block.pick(docs)
-        return ts.per_doc(_SYMBOL[data], offsets) > most_per_word * block.n_words[docs]
-
-    return Rule("symbols", rejects)
+    return Rule("symbols", lambda block: ts.per_doc(_SYMBOL[block.data], block.offsets) > most_per_word * block.n_words)
 
 
 def capitals_rule(most: float = 0.5) -> Rule:
-    return Rule("capitals", lambda block, docs: _share(block, docs, _UPPER, _LETTER) > most)
+    """Capitals A-Z as a share of the bytes of letters."""
+    return Rule("capitals", lambda block: _share(block, _UPPER, _LETTER) > most)
 
 
 def letters_rule(least: float = 0.5) -> Rule:
     """Letters as a share of the bytes that are no white space."""
-    return Rule("letters", lambda block, docs: _share(block, docs, _LETTER, ts.IS_SPACE_WORD) < least)
+    return Rule("letters", lambda block: _share(block, _LETTER, ts.IS_SPACE_WORD) < least)
 
 
 def stutter_rule(most: float = 0.2) -> Rule:
     """Words that equal the word before them."""
 
-    def rejects(block: Block, docs: np.ndarray) -> np.ndarray:
+    def rejects(block: Block) -> np.ndarray:
         s = block.s
         again = np.zeros(len(s.hash), bool)
         again[1:] = (s.hash[1:] == s.hash[:-1]) & (s.doc[1:] == s.doc[:-1])
-        return (ts.per_doc(again, s.first) > most * block.n_words)[docs]
+        return ts.per_doc(again, s.first) > most * block.n_words
 
     return Rule("stutter", rejects)
 
 
 def word_length_rule(least: float = 2.0, most: float = 25.0) -> Rule:
-    def rejects(block: Block, docs: np.ndarray) -> np.ndarray:
-        mean = block.word_chars()[docs] / np.maximum(1, block.n_words[docs])
+    def rejects(block: Block) -> np.ndarray:
+        mean = block.word_chars() / np.maximum(1, block.n_words)
         return (mean < least) | (mean > most)
 
     return Rule("word_length", rejects)
@@ -154,54 +170,59 @@ def word_length_rule(least: float = 2.0, most: float = 25.0) -> Rule:
 
 def base_rule() -> Rule:
     """Too few words, or too many of them in repeated windows."""
-
-    def rejects(block: Block, docs: np.ndarray) -> np.ndarray:
-        words = block.n_words[docs]
-        return (words < MIN_WORDS) | (100 * block.repeat_words()[docs] > MAX_REPEAT_PERCENT * words)
-
-    return Rule("base", rejects)
+    return Rule("base", lambda block: (block.n_words < MIN_WORDS) | (100 * block.repeat_words() > MAX_REPEAT_PERCENT * block.n_words))
 
 
 DEFAULT_RULES = (symbol_rule(), capitals_rule(), letters_rule(), stutter_rule(), word_length_rule())
+#: Documents of a task on which it measures its rules, at least.
+SAMPLE_ROWS = 256
+
+
+class Cascade:
+    """Rules that are measured on the first documents and then run in order."""
+
+    def __init__(self, rules: list[Rule], sample_rows: int = SAMPLE_ROWS):
+        self.rules, self.sample_rows, self.rows = list(rules), sample_rows, 0
+        self.cost, self.rejected = dict.fromkeys((r.name for r in rules), 0.0), dict.fromkeys((r.name for r in rules), 0)
+
+    def _measured(self, block: Block, alive: np.ndarray) -> np.ndarray:
+        docs = np.flatnonzero(alive)
+        mine, failed = block.only(docs), np.zeros(len(docs), bool)
+        for rule in self.rules:
+            # What a rule needs is its cost, so each begins anew with what is known of the block.
+            fresh = Block(mine.data, mine.offsets, mine._scan)
+            began = time.perf_counter()
+            bad = rule.rejects(fresh)
+            self.cost[rule.name] += time.perf_counter() - began
+            self.rejected[rule.name] += int(bad.sum())
+            failed |= bad
+        self.rows += len(docs)
+        if self.rows >= self.sample_rows:
+            self.rules = ordered(self.rules, {r.name: (self.cost[r.name] / self.rows, self.rejected[r.name] / self.rows) for r in self.rules})
+        kept = np.zeros(len(alive), bool)
+        kept[docs[~failed]] = True
+        return kept
+
+    def keeps(self, block: Block, alive: np.ndarray) -> np.ndarray:
+        """Which documents all rules accept; `alive` are those to look at."""
+        if self.rows < self.sample_rows:
+            return self._measured(block, alive)
+        return cascade(block, self.rules, alive)
 
 
 def cascade(block: Block, rules: list[Rule], alive: np.ndarray) -> np.ndarray:
-    """Which documents all rules accept; `alive` are those to look at."""
+    """Which documents all rules accept; each rule gets those left by the ones before."""
     kept, docs = np.zeros(len(alive), bool), np.flatnonzero(alive)
+    block = block.only(docs)
     for rule in rules:
         if not len(docs):
             return kept
-        docs = docs[~rule.rejects(block, docs)]
+        good = np.flatnonzero(~rule.rejects(block))
+        block, docs = block.only(good), docs[good]
     kept[docs] = True
     return kept
 
 
-def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", per_mille: int = 20, most_rows: int = 2000) -> dict[str, tuple[float, float]]:
-    """Cost in seconds a row and share rejected of each rule, on a hashed sample.
-
-    The sample is the rows whose text's hash falls in `per_mille`, `most_rows` at
-    most: a bound of the estimate alone, no row of the result depends on it.
-    """
-    names = [r.name for r in rules]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, cost, out = 0, np.zeros(len(rules)), np.zeros(len(rules))
-        for batch in batches:
-            for _, _, data, offsets in ts.blocks(batch.column(0)):
-                block = Block(data, offsets)
-                every = np.arange(len(offsets) - 1)
-                rows += len(every)
-                for k, rule in enumerate(rules):
-                    began = time.perf_counter()
-                    out[k] += int(rule.rejects(block, every).sum())
-                    cost[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": names, "n": [rows] * len(rules), "cost": cost, "rejected": out})
-
-    sample = docs.select(F.col(text_col)).where(F.pmod(F.xxhash64(text_col), F.lit(1000)) < per_mille).limit(most_rows)
-    found = sample.mapInArrow(run, "rule string, n long, cost double, rejected double").groupBy("rule").sum("n", "cost", "rejected").collect()
-    return {r[0]: (r[2] / max(1, r[1]), r[3] / max(1, r[1])) for r in found}
-
-
 def ordered(rules: list[Rule], measured: dict[str, tuple[float, float]]) -> list[Rule]:
     """Most rejections per cost first; rules that weren't measured come last."""
 
@@ -209,21 +230,21 @@ def ordered(rules: list[Rule], measured: dict[str, tuple[float, float]]) -> list
         cost, share = measured.get(rule.name, (0.0, 0.0))
         return share / cost if cost > 0 else -1.0
 
-    return sorted(rules, key=lambda r: (-gain(r), r.name))
+    return sorted(rules, key=lambda r: (-gain(r), measured.get(r.name, (0.0, 0.0))[0], r.name))
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the base statistics and the verdict."""
-    rules = ordered(list(rules), measure(docs, list(rules), text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Cascade(list(rules))
         for batch in batches:
             for i, j, data, offsets in ts.blocks(batch.column(1)):
                 block = Block(data, offsets)
                 repeated = block.repeat_words()
                 failed = (block.n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * block.n_words)
                 columns = [
-                    batch.column(0).slice(i, j - i).cast(pa.int64()), block.n_words, block.word_chars(), block.symbols(), block.dup_lines(), repeated, failed, cascade(block, rules, ~failed),
+                    batch.column(0).slice(i, j - i).cast(pa.int64()), block.n_words, block.word_chars(), block.symbols(), block.dup_lines(), repeated, failed, judge.keeps(block, ~failed),
                 ]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=NAMES)
 
@@ -234,15 +255,18 @@ NAMES = [c.split()[0] for c in SCHEMA.split(",")]
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text_col: str = "text") -> DataFrame:
-    """The documents that the base rule and all other rules accept, unchanged."""
-    rules = [base_rule(), *rules]
-    rules = ordered(rules, measure(docs, rules, text_col))
+    """The documents that the base rule and all other rules accept, unchanged.
+
+    Null and empty texts go, as they have no words; repeated rows stay or go
+    together; columns of any name and null ids are carried along.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Cascade([base_rule(), *rules])
         for batch in batches:
             for i, j, data, offsets in ts.blocks(batch.column(at)):
-                kept = cascade(Block(data, offsets), rules, np.ones(j - i, bool))
+                kept = judge.keeps(Block(data, offsets), np.ones(j - i, bool))
                 yield batch.slice(i, j - i).filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
@@ -250,3 +274,36 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text_
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
+
+
+#: DuckDB SQL of `op3_quality_rules`, with the defaults of all rules.
+ORACLE = r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+listed as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, string_split(t, chr(10)) as lines from docs),
+words as (select r, unnest(w) as said, generate_subscripts(w, 1) as i from listed),
+grams as (
+  select r, i, said, lead(said, 1) over k as b, lead(said, 2) over k as c, lead(said, 3) over k as d, lead(said, 4) over k as e, lag(said) over k as before
+  from words window k as (partition by r order by i)),
+again as (select r, i from (select r, i, e, count(*) over (partition by r, said, b, c, d, e) as n from grams) where e is not null and n > 1),
+covered as (select r, count(distinct i + j) as n_repeat from again cross join range(0, 5) as x(j) group by r),
+stutters as (select r, count(*) as n_stutter from grams where said = before group by r),
+line_rows as (select r, unnest(lines) as line from listed),
+dups as (select r, count(*) - count(distinct line) as n_dup from line_rows where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+stats as (
+  select r, doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g')) as capitals,
+    strlen(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) as letters,
+    strlen(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as inked
+  from listed),
+joined as (
+  select *, coalesce(n_dup, 0) as dup, coalesce(n_repeat, 0) as rep, coalesce(n_stutter, 0) as stut
+  from stats left join dups using (r) left join covered using (r) left join stutters using (r)),
+judged as (select *, n_words < 10 or 100 * rep > 20 * n_words as failed from joined)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(dup as bigint) as n_dup_lines, cast(rep as bigint) as n_repeat_words, failed as base_failed,
+  not failed and not (n_symbols > 0.25::double * n_words) and not (capitals / greatest(letters, 1)::double > 0.5::double)
+    and not (letters / greatest(inked, 1)::double < 0.5::double) and not (stut > 0.2::double * n_words)
+    and not (word_chars / greatest(n_words, 1)::double < 2 or word_chars / greatest(n_words, 1)::double > 25) as kept
+from judged
+"""

@@ -1,6 +1,9 @@
 """Documents with awkward cases, and the word rules in plain Python."""
 
 import re
+from collections import Counter
+
+import duckdb
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,3 +42,16 @@ def space_words(text):
 
 def alnum_words(text):
     return ALNUM_WORD.findall(lower(text))
+
+
+def same_rows(spark, folder, query, sql, **tables):
+    """Assert that a registered query and its SQL give the same rows over small tables."""
+    db = duckdb.connect()
+    for name, (data, schema) in tables.items():
+        path = str(folder / f"{name}.parquet")
+        spark.createDataFrame(data, schema).write.parquet(path)
+        db.execute(f"create view {name} as select * from read_parquet('{path}/*.parquet')")
+    got, want = query(spark, str(folder)), db.execute(sql)
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert Counter(map(tuple, got.select(names).collect())) == Counter(want.fetchall())
