@@ -11,8 +11,9 @@ from pyspark.sql import SparkSession
 from .config import LANGUAGES, EngineMode, PostEditSettings, RunConfig
 from .functions import plain
 from .operators import engines
+from .operators.stored import released, stored
 from .plans import reports as rp
-from .plans.translate import translate_units
+from .plans.translate import translated
 from .sources.formats import FORMATS, format_of
 from .sources.glossaries import SUFFIXES, load
 from .sources.reports import write_report
@@ -92,18 +93,23 @@ def build_config(source: str, target: str, engine: str = "argos", glossary: str
 
 
 def _run(spark: SparkSession, texts: list[str], config: RunConfig, engine, edit: plain.Edit | None) -> tuple[list[str], dict]:
-    """Translated units and the merged report of one document."""
+    """Translated units and the merged report of one document.
+
+    Where no engine is given, Argos Translate makes the drafts and the local model
+    of the settings edits them; what isn't installed is in the report's errors.
+    """
+    engine = engine or engines.argos(config.source_language, config.target_language)
+    edit = edit or (engines.LanguageModel(config.settings) if config.engine != EngineMode.ARGOS else None)
     began = time.perf_counter()
     units = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "doc_id long, unit_idx int, text string")
-    text, report = translate_units(units, config, engine or engines.identity(), edit)
-    report = report.persist()
+    done = stored(translated(units, config, engine, edit), "translated")
     try:
-        done = {r.unit_idx: r.text for r in text.collect()}
-        merged = rp.merge_reports(report).collect()
+        texts_by_unit = {r.unit_idx: r.text for r in done.select("unit_idx", "text").collect()}
+        merged = rp.merge_reports(done.drop("text", "segments")).collect()
     finally:
-        report.unpersist()
+        released(done)
     said = merged[0].asDict(recursive=True) if merged else empty_report()
-    return [done.get(k, "") for k in range(len(texts))], said | {"elapsed_seconds": time.perf_counter() - began}
+    return [texts_by_unit.get(k, "") for k in range(len(texts))], said | {"elapsed_seconds": time.perf_counter() - began}
 
 
 def empty_report() -> dict:
@@ -113,10 +119,10 @@ def empty_report() -> dict:
 
 def _report_out(said: dict, report: bool, report_json: str | Path | None) -> tuple[dict | None, list[str]]:
     if report_json is not None and not report:
-        return None, ["report_json is ignored without report"]
+        return said, ["report_json is ignored without report"]
     if report and report_json is not None:
         write_report(said, report_json)
-    return (said if report else None), []
+    return said, []
 
 
 def translate_text(spark: SparkSession, content: str, source: str, target: str, report: bool = False, report_json: str | Path | None = None, translator=None, edit: plain.Edit | None = None, **options) -> TextOutput:

@@ -11,7 +11,7 @@ from . import api
 from .operators import engines
 from .plans.reports import readable
 
-TRANSLATORS = {"identity": engines.identity, "tag": engines.tag, "prefix": engines.prefix}
+TRANSLATORS = {"argos": lambda: None, "identity": engines.identity, "tag": engines.tag, "prefix": engines.prefix}
 
 
 def session(verbose: bool = False):
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--policy", default="auto", choices=("off", "auto", "safe", "smart"))
         c.add_argument("--report", action="store_true")
         c.add_argument("--report-json")
-        c.add_argument("--translator", default="identity", choices=sorted(TRANSLATORS))
+        c.add_argument("--translator", default="argos", choices=sorted(TRANSLATORS))
         c.add_argument("--editor", choices=sorted(engines.POST_EDITORS))
     commands.add_parser("preview").add_argument("input")
     commands.add_parser("report-summary").add_argument("reports", nargs="+")
@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 print(done.output_path)
             for line in done.warnings:
                 print(f"Warning: {line}", file=sys.stderr)
-            if done.report:
+            if args.report:
                 print(readable(done.report))
     except (ValueError, OSError) as problem:
         print(f"Error: {problem}", file=sys.stderr)

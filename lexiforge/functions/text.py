@@ -1,6 +1,8 @@
 """Native column expressions for segmentation, features and small text rules.
 
-Java patterns carry `(?U)`, without which `\\w`, `\\s` and `\\b` know only ASCII.
+Word characters and white space are those of Python's patterns, named by their
+Unicode categories: Java's own classes also take marks and joiners for word
+characters, and don't take U+001C to U+001F for white space.
 """
 
 from __future__ import annotations
@@ -10,6 +12,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The insides of classes: word characters (letters, all kinds of numbers, the underscore) and white space.
+#: The letter beyond U+FFFF makes Java look behind by code points instead of surrogates.
+WORD, SPACE = "\\p{L}\\p{N}_\U00010000", r"\s\x1C-\x1F"
 PLACEHOLDER = "__LT_[A-Z0-9_]+__"
 PLACEHOLDER_MARK = "__LT_"
 #: Signs of technical text. Fixed values.
@@ -18,15 +23,15 @@ TECHNICAL = ("http", "`", "${", "{{", "--")
 
 def strip(c: Column) -> Column:
     """Without white space at the ends; `trim` strips blanks only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def is_blank(c: Column) -> Column:
-    return ~F.rlike(c, F.lit(r"(?U)\S"))
+    return ~F.rlike(c, F.lit(rf"(?U)[^{SPACE}]"))
 
 
 def _pieces(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, rf"(?U)(?<=[.!?])[{SPACE}]+"), strip), lambda x: x != "")
 
 
 def sentences(c: Column) -> Column:
@@ -37,7 +42,7 @@ def sentences(c: Column) -> Column:
 
 def normalize_spacing(c: Column) -> Column:
     """Runs of blanks and tabs between other characters of a line become one blank."""
-    return F.regexp_replace(c, r"(?U)(?<=\S)[ \t]{2,}(?=\S)", " ")
+    return F.regexp_replace(c, rf"(?U)(?<=[^{SPACE}])[ \t]{{2,}}(?=[^{SPACE}])", " ")
 
 
 def placeholder_count(c: Column) -> Column:
@@ -109,15 +114,33 @@ def java_quote(text: str) -> str:
 
 def term_pattern(term: str, ignore_case: bool = True) -> str:
     """A term as a Java pattern, between word boundaries if it has a word character."""
-    flags = "(?iU)" if ignore_case else "(?U)"
+    flags = "(?iu)" if ignore_case else ""
     quoted = java_quote(term)
-    return flags + (rf"(?<!\w){quoted}(?!\w)" if re.search(r"\w", term) else quoted)
+    return flags + (rf"(?<![{WORD}]){quoted}(?![{WORD}])" if re.search(r"\w", term) else quoted)
 
 
 def variant_pattern(placeholder: str) -> str:
     """A placeholder with its underscores lost or turned to other separators."""
     parts = [java_quote(p) for p in placeholder.strip("_").split("_") if p]
-    return r"(?iU)(?<!\w)_*" + r"[\W_]*".join(parts) + r"_*(?!\w)"
+    return rf"(?iu)(?<![{WORD}])_*" + r"[^\p{L}\p{N}]*".join(parts) + rf"_*(?![{WORD}])"
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern in Python's syntax with its word characters, boundaries and white space spelt out for Java."""
+    edge = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+    alone = {"w": f"[{WORD}]", "W": f"[^{WORD}]", "s": f"[{SPACE}]", "S": f"[^{SPACE}]", "b": edge}
+    inside = {"w": WORD, "s": SPACE}
+    out, k, in_class = [], 0, False
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            out.append((inside if in_class else alone).get(pattern[k + 1], pattern[k : k + 2]))
+            k += 2
+            continue
+        in_class = c == "[" or in_class and c != "]"
+        out.append(c)
+        k += 1
+    return "".join(out)
 
 
 def java_replacement(text: str) -> str:
@@ -126,13 +149,13 @@ def java_replacement(text: str) -> str:
 
 def edge_preserved(original: Column, translated: Column) -> Column:
     """The translation between the original's white space, if it has any at its ends."""
-    before, after = F.regexp_extract(original, r"(?U)^\s*", 0), F.regexp_extract(original, r"(?U)\s*$", 0)
+    before, after = F.regexp_extract(original, rf"(?U)^[{SPACE}]*", 0), F.regexp_extract(original, rf"(?U)[{SPACE}]*$", 0)
     return F.when((before == "") & (after == ""), translated).otherwise(F.concat(before, strip(translated), after))
 
 
 def page_normalized(c: Column) -> Column:
     """A page's lines without trailing white space and blank lines, stripped."""
-    lines = F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    lines = F.transform(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, rf"(?U)[{SPACE}]+$", ""))
     return strip(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PostEditSettings
+from ..functions import text as tx
 from .segments import KEYS
 
 MERGED = "merged_consecutive_prose_segments"
@@ -43,6 +44,11 @@ def _packed(rows: Column, s: PostEditSettings) -> Column:
     return F.aggregate(rows, start, step, lambda a: F.when(F.size(a["idx"]) > 0, closed(a, a["why"])).otherwise(a["done"]))
 
 
+def chunks_of(rows: Column, settings: PostEditSettings, least_size: int = 1) -> Column:
+    """Chunks of a unit's ordered segments (seg_idx, chars, marks, mode, can)."""
+    return F.filter(_packed(rows, settings), lambda c: (F.size(c["segment_indices"]) >= least_size) & c["routing_mode"].isNotNull())
+
+
 def pack(routed: DataFrame, settings: PostEditSettings, least_size: int = 1, draft: str = "draft") -> DataFrame:
     """One row per chunk: its segments, size, mode of the first member and why it ended.
 
@@ -50,9 +56,8 @@ def pack(routed: DataFrame, settings: PostEditSettings, least_size: int = 1, dra
     """
     row = F.struct("seg_idx", F.length(draft).alias("chars"), F.col("mark_count").alias("marks"), F.col("decision.mode").alias("mode"), F.col("can_chunk").alias("can"))
     units = routed.groupBy(*KEYS).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    chunks = units.select(*KEYS, F.posexplode(_packed(F.col("rows"), settings)).alias("chunk_idx", "c")).select(*KEYS, "chunk_idx", "c.*")
-    kept = chunks.where((F.size("segment_indices") >= least_size) & F.col("routing_mode").isNotNull())
-    return kept.withColumn("merge_reason", F.lit(MERGED))
+    chunks = units.select(*KEYS, F.posexplode(chunks_of(F.col("rows"), settings, least_size)).alias("chunk_idx", "c")).select(*KEYS, "chunk_idx", "c.*")
+    return chunks.withColumn("merge_reason", F.lit(MERGED))
 
 
 def payload(texts: Column) -> Column:
@@ -68,5 +73,5 @@ def parsed(candidate: Column, expected: Column) -> Column:
     numbers, bodies = F.regexp_extract_all(candidate, F.lit(BLOCK), F.lit(1)), F.regexp_extract_all(candidate, F.lit(BLOCK), F.lit(2))
     rest = F.regexp_replace(candidate, BLOCK, "")
     in_order = F.forall(F.transform(numbers, lambda x, i: x.cast("int") == i), lambda ok: ok)
-    reason = F.when(F.size(numbers) != expected, "missing_segment").when(~in_order | F.rlike(rest, F.lit(r"(?U)\S")), "malformed_markers")
-    return F.struct(F.when(reason.isNull(), F.transform(bodies, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).alias("texts"), reason.alias("reason"))
+    reason = F.when(F.size(numbers) != expected, "missing_segment").when(~in_order | ~tx.is_blank(rest), "malformed_markers")
+    return F.struct(F.when(reason.isNull(), F.transform(bodies, tx.strip)).alias("texts"), reason.alias("reason"))

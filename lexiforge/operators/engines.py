@@ -1,14 +1,16 @@
 """Translation and post-edit engines behind small protocols.
 
-No model runtime is part of this package: the engines here are deterministic, and
-a real one is any object with the same method. Batch engines are loaded once in a
-worker; a failing text becomes an error of its row, not of its task.
+No model runtime is part of this package. Deterministic engines are here, and
+adapters that load an installed runtime when a worker first needs it; any other
+object with the same method will do. A failing text becomes an error of its row,
+and a failing post-edit a fallback, so that neither ends a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import PostEditSettings
 from ..functions import plain
 from ..functions import text as tx
 
@@ -87,6 +90,68 @@ class BatchEngine:
         return df.mapInArrow(run, schema)
 
 
+class Argos:
+    """Argos Translate for a pair of languages, looked up at the first text."""
+
+    def __init__(self, source: str, target: str):
+        self.source, self.target, self.pair = source, target, None
+
+    def _load(self):
+        try:
+            from argostranslate import translate
+        except ImportError as problem:
+            raise RuntimeError("no Argos Translate on this worker: install argostranslate and a package of the language pair") from problem
+        installed = {x.code: x for x in translate.get_installed_languages()}
+        for code in (self.source, self.target):
+            if code not in installed:
+                raise RuntimeError(f"Argos Translate has no language {code} here")
+        return installed[self.source].get_translation(installed[self.target])
+
+    def translate(self, text: str) -> str:
+        if not text.strip():
+            return text
+        self.pair = self.pair or self._load()
+        return self.pair.translate(text)
+
+
+def argos(source: str, target: str) -> BatchEngine:
+    return BatchEngine("argos", lambda: Argos(source, target))
+
+
+def _load_llama(s: PostEditSettings):
+    try:
+        from llama_cpp import Llama
+    except ImportError as problem:
+        raise RuntimeError("no llama-cpp-python on this worker") from problem
+    return Llama(model_path=s.model_path, n_ctx=s.n_ctx, n_batch=s.n_batch, n_threads=s.n_threads, verbose=False)
+
+
+@lru_cache(maxsize=1)
+def _loaded(load: Callable, settings: PostEditSettings):
+    """A worker keeps one model over its tasks."""
+    return load(settings)
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """A post-editor that asks a local model, greedily and within a token budget.
+
+    Without a model path, and for blank drafts, the draft is the answer.
+    """
+
+    settings: PostEditSettings
+    load: Callable = _load_llama
+
+    def __call__(self, source: str, draft: str, entries: plain.Entries, mode: str) -> str:
+        s = self.settings
+        if not draft.strip() or not s.model_path:
+            return draft
+        model = _loaded(self.load, s)
+        # The sampling and the ends of an answer.
+        said = model(plain.prompt(source, draft, entries, mode), max_tokens=plain.token_budget(draft, mode, s.max_tokens), temperature=max(0.0, s.temperature), top_k=1, top_p=1.0, seed=0, stop=["[/OUTPUT]", "\n\n"])
+        return said["choices"][0]["text"].strip()
+
+
 # Post-edit engines: (source, draft, entries, mode) -> candidate
 
 

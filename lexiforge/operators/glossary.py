@@ -3,7 +3,7 @@
 A short glossary is a fold of native expressions over its terms, longest first;
 each step takes the last match's casing from the text as it is at that step. Each
 step's state is bound once, so the work stays linear in the number of terms. A
-long glossary goes through an Arrow function.
+long glossary goes through an Arrow function, with the same results.
 """
 
 from __future__ import annotations
@@ -111,6 +111,17 @@ def restore(df: DataFrame, entries: Entries, column: str, marks: str, into: str
     return df.withColumn("_back", state).withColumns({into: F.col("_back.text"), f"{into}_n": F.col("_back.n")}).drop("_back")
 
 
+def finish(df: DataFrame, entries: Entries, column: str, marks: str, into: str = "final") -> DataFrame:
+    """Adds a draft's final text (terms restored and applied once more, spacing normalised) and `<into>_n`.
+
+    A null draft has a null text and no replacements.
+    """
+    back = restore(df, entries, column, marks, "_finish_back")
+    done = apply(back, entries, "_finish_back", "_finish")
+    n = F.coalesce("_finish_back_n", F.lit(0)) + F.coalesce("_finish_n", F.lit(0))
+    return done.withColumns({into: tx.normalize_spacing(F.col("_finish")), f"{into}_n": n}).drop("_finish_back", "_finish_back_n", "_finish", "_finish_n")
+
+
 def _back(name: str, marks: Column) -> Callable[[Column], Column]:
     pattern = tx.variant_pattern(name)
     literal = F.try_element_at(F.transform(F.filter(marks, lambda p: p["ph"] == name), lambda p: p["lit"]), F.lit(1))

@@ -16,8 +16,9 @@ from ..config import EngineMode, PostEditSettings, RunConfig
 from ..functions import plain
 from ..functions import text as tx
 from ..operators import chunks, engines, glossary, postedit, routing, segments, tokens
+from ..sources import sinks
 from . import reports
-from .translate import finalize, prepare, translate_units
+from .translate import translated
 
 #: Common words of the test languages: the casing and boundary rules all apply.
 TERMS: plain.Entries = (("the", "le"), ("with", "avec"), ("les", "the ones"), ("que", "that"), ("und", "und so"), ("for the", "pour le"))
@@ -108,13 +109,13 @@ def _bounded_sub(x: str, term: str, by: str) -> str:
     return once(once(x))
 
 
-def _glossary_sql(label: str) -> str:
+def _glossary_sql(label: str, start: str = "select doc_id, seg_idx, text as t from seg", g: str = "g") -> str:
     """Steps of the fold, each from the one before: t0, t1, ..."""
-    steps, targets = ["g0 as (select doc_id, seg_idx, text as t from seg)"], dict(TERMS)
+    steps, targets = [f"{g}0 as ({start})"], dict(TERMS)
     for k, term in enumerate(plain.by_length(targets)):
         last = f"regexp_extract(t, '(?s)^(?:.*[^\\pL\\pN_])?((?i){term})(?:[^\\pL\\pN_]|$)', 1)"
         kept = "".join(f", m{j}" for j in range(k))
-        steps.append(f"g{k + 1} as (select doc_id, seg_idx, {_bounded_sub('t', term, label % k)} as t{kept}, {last} as m{k} from g{k})")
+        steps.append(f"{g}{k + 1} as (select doc_id, seg_idx, {_bounded_sub('t', term, label % k)} as t{kept}, {last} as m{k} from {g}{k})")
     return ",\n".join(steps)
 
 
@@ -378,26 +379,45 @@ _CANDIDATE = """case seg_idx % 6 when 0 then d when 1 then '' when 2 then d || d
 _IDS = "list_sort(regexp_extract_all(c, '__LT_{}_(\\d{{4}})__', 1))"
 
 
-@query(
+_JUDGED = (
     _with(SEG, "d as (select doc_id, seg_idx, '__LT_PROTECTED_0000__ ' || text || ' __LT_GLOSSARY_PROTECTED_0001__' as d from seg)", f"c as (select *, {_CANDIDATE} as c from d)")
     + f"""select doc_id, cast(seg_idx as bigint) as seg_idx, case when trim(d) <> '' and {_strip('c')} = '' then 'empty_output'
   when length(c) > floor(length(d) * cast(1.4 as double)) then 'length_expansion' when {_IDS.format('PROTECTED')} <> ['0000'] then 'placeholder_mismatch'
   when {_IDS.format('GLOSSARY_PROTECTED')} <> ['0001'] then 'glossary_placeholder_mismatch'
   when length(c) - length(replace(c, chr(10), '')) > length(d) - length(replace(d, chr(10), '')) + 3 then 'unexpected_reformat' end as reason from c"""
 )
+
+
+@query(_JUDGED)
 def validate_candidates(spark, sf_dir):
+    return _judged(spark, sf_dir).select("doc_id", F.col("seg_idx").cast("long").alias("seg_idx"), "reason")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = F.col("d"), F.col("seg_idx") % 6
     df = doc_segments(spark, sf_dir).withColumn("d", F.concat(F.lit("__LT_PROTECTED_0000__ "), "text", F.lit(" __LT_GLOSSARY_PROTECTED_0001__")))
     c = F.when(i == 0, d).when(i == 1, "").when(i == 2, F.concat(d, d)).when(i == 3, F.replace(d, F.lit("__LT_PROTECTED_0000__"), F.lit("x"))).when(i == 4, F.replace(d, F.lit("__LT_GLOSSARY_PROTECTED_0001__"), F.lit("y"))).otherwise(F.replace(d, F.lit(" "), F.lit("\n")))
     marks = F.array(*(F.struct(F.lit(p).alias("ph"), F.lit("z").alias("lit")) for p in ("__LT_PROTECTED_0000__", "__LT_GLOSSARY_PROTECTED_0001__")))
-    return df.withColumn("c", c).select("doc_id", F.col("seg_idx").cast("long").alias("seg_idx"), tokens.failure(d, d, F.col("c"), marks, 1.4).alias("reason"))
+    return df.withColumn("c", c).select("doc_id", "seg_idx", tokens.failure(d, d, F.col("c"), marks, 1.4).alias("reason"))
 
 
-@query()
+_EXPECTED = ("__LT_PROTECTED_0000__", "__LT_GLOSSARY_PROTECTED_0001__", "__LT_PROTECTED_0002__")
+_DIFF_DRAFT = f"d as (select doc_id, seg_idx, '{_EXPECTED[0]} ' || text || ' {_EXPECTED[1]} {_EXPECTED[2]}' as d from seg)"
+_DIFF_CANDIDATE = f"c as (select doc_id, seg_idx, case seg_idx % 4 when 0 then d when 1 then replace(d, '{_EXPECTED[0]}', 'x') when 2 then replace(replace(d, '{_EXPECTED[1]}', ''), '{_EXPECTED[2]}', '__LT_PROTECTED_0009__') else d || ' __LT_GLOSSARY_PROTECTED_0007__ __LT_PROTECTED_0005__' end as c from d)"
+_FOUND = "regexp_extract_all(c, '__LT_(?:GLOSSARY_)?PROTECTED_\\d{4}__')"
+
+
+@query(
+    _with(SEG, _DIFF_DRAFT, _DIFF_CANDIDATE)
+    + f"select doc_id, cast(seg_idx as bigint) as seg_idx, array_to_string(list_filter({list(_EXPECTED)}, lambda x: not list_contains({_FOUND}, x)), ',') as missing, array_to_string(list_filter({_FOUND}, lambda x: not list_contains({list(_EXPECTED)}, x)), ',') as extra from c"
+)
 def placeholder_diff(spark, sf_dir):
-    df = tokens.protect_tokens(drafts(spark, sf_dir), "draft")
-    lost = F.replace("marked", F.lit("__LT_PROTECTED_0000__"), F.lit("__LT_PROTECTED_0009__"))
-    out = tokens.placeholder_diff(lost, F.col("marked_map"))
+    first, second, third = _EXPECTED
+    d, i = F.col("d"), F.col("seg_idx") % 4
+    df = doc_segments(spark, sf_dir).withColumn("d", F.concat(F.lit(first + " "), "text", F.lit(f" {second} {third}")))
+    swapped = F.replace(F.replace(d, F.lit(second), F.lit("")), F.lit(third), F.lit("__LT_PROTECTED_0009__"))
+    c = F.when(i == 0, d).when(i == 1, F.replace(d, F.lit(first), F.lit("x"))).when(i == 2, swapped).otherwise(F.concat(d, F.lit(" __LT_GLOSSARY_PROTECTED_0007__ __LT_PROTECTED_0005__")))
+    out = tokens.placeholder_diff(c, F.array(*(F.struct(F.lit(p).alias("ph"), F.lit("z").alias("lit")) for p in _EXPECTED)))
     return df.select("doc_id", F.col("seg_idx").cast("long").alias("seg_idx"), F.array_join(out["missing"], ",").alias("missing"), F.array_join(out["extra"], ",").alias("extra"))
 
 
@@ -412,47 +432,50 @@ def reinject_placeholders(spark, sf_dir):
 @query(_with(SEG) + f"select doc_id, string_agg({_spaced_sql(chr(40) + 'text || ' + chr(39) + ' [en]' + chr(39) + chr(41))}, ' ' order by seg_idx) as text from seg group by doc_id")
 def translate_tagged(spark, sf_dir):
     """Blank units stay as they are; there are none with text in these tables."""
-    text, _ = translate_units(doc_units(spark, sf_dir), RunConfig(), engines.tag())
-    return text.select("doc_id", "text")
+    return translated(doc_units(spark, sf_dir), RunConfig(), engines.tag()).select("doc_id", "text")
 
 
-@query()
+_FIRST = f"first as (select doc_id, seg_idx, {_swapped_sql('t', plain.TERM)} || ' [en]' as t, {_count_sql(plain.TERM)} as n from {LAST})"
+_SECOND = _glossary_sql(plain.REPLACED, "select doc_id, seg_idx, t from first", "h")
+_FINAL = f"last as (select doc_id, seg_idx, {_spaced_sql(_swapped_sql('t', plain.REPLACED))} as t, {_count_sql(plain.REPLACED)} as n from h{N})"
+
+
+@query(_with(SEG, _glossary_sql(plain.TERM), _FIRST, _SECOND, _FINAL) + "select doc_id, string_agg(last.t, ' ' order by seg_idx) as text, cast(sum(2 * first.n + last.n) as bigint) as glossary_replacements from last join first using (doc_id, seg_idx) group by doc_id")
 def translate_with_glossary(spark, sf_dir):
-    text, report = translate_units(doc_units(spark, sf_dir), RunConfig(glossary=TERMS), engines.tag())
-    return text.join(report, ["doc_id", "unit_idx"]).select("doc_id", "text", "glossary_replacements")
+    """Terms are counted when they are marked, when they come back, and once more in the final text."""
+    return translated(doc_units(spark, sf_dir), RunConfig(glossary=TERMS), engines.tag()).select("doc_id", "text", "glossary_replacements")
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, editor: str, settings: PostEditSettings, terms: plain.Entries = ()) -> tuple[DataFrame, DataFrame]:
-    config = RunConfig(engine=EngineMode.HYBRID, settings=settings, glossary=terms)
-    return translate_units(doc_units(spark, sf_dir), config, engines.identity(), engines.POST_EDITORS[editor])
+_RAW = "draft as (select doc_id, lang, seg_idx, text as draft from seg)"
 
 
-_CALLS = ["llm_calls", "llm_skipped", "fallback_count", "chunk_fallbacks", "llm_chunks_built", "llm_calls_saved_by_chunking", "glossary_replacements"]
+def _hybrid(spark: SparkSession, sf_dir: str, editor: str, settings: PostEditSettings, terms: plain.Entries = ()) -> DataFrame:
+    config = RunConfig(engine=EngineMode.HYBRID, settings=settings, glossary=terms)
+    return translated(doc_units(spark, sf_dir), config, engines.identity(), engines.POST_EDITORS[editor])
 
 
-def _edited(result: tuple[DataFrame, DataFrame]) -> DataFrame:
-    text, report = result
-    return text.join(report, ["doc_id", "unit_idx"]).select("doc_id", "text", *_CALLS)
+_CALLS = ["llm_calls", "llm_skipped", "fallback_count", "chunk_fallbacks", "llm_chunks_built", "llm_calls_saved_by_chunking", "glossary_replacements"]
 
 
 @query()
 def hybrid_echo(spark, sf_dir):
-    return _edited(_hybrid(spark, sf_dir, "echo", CHUNKED, TERMS))
+    return _hybrid(spark, sf_dir, "echo", CHUNKED, TERMS).select("doc_id", "text", *_CALLS)
 
 
-@query()
+@query(
+    _with(SEG, _RAW, FEATURES, _routed(CHUNKED), PACKED, "built as (select doc_id, count(*) as n from plan where n_segments > 1 group by doc_id)", recursive=True)
+    + f"""select doc_id, string_agg({_spaced_sql('draft')}, ' ' order by seg_idx) as text, count(mode) + coalesce(min(n), 0) as llm_calls, count(*) - count(mode) as llm_skipped, cast(0 as bigint) as fallback_count,
+  coalesce(min(n), 0) as chunk_fallbacks, coalesce(min(n), 0) as llm_chunks_built, cast(0 as bigint) as llm_calls_saved_by_chunking, cast(0 as bigint) as glossary_replacements
+from routed left join built using (doc_id) group by doc_id"""
+)
 def hybrid_broken_markers(spark, sf_dir):
-    return _edited(_hybrid(spark, sf_dir, "broken_markers", CHUNKED))
-
-
-_RAW = "draft as (select doc_id, lang, seg_idx, text as draft from seg)"
+    return _hybrid(spark, sf_dir, "broken_markers", CHUNKED).select("doc_id", "text", *_CALLS)
 
 
 @query(_with(SEG, _RAW, FEATURES, _routed(PostEditSettings())) + f"select doc_id, string_agg({_spaced_sql('draft')}, ' ' order by seg_idx) as text, count(mode) as llm_calls, count(*) - count(mode) as llm_skipped, count(mode) as fallback_count, count(mode) as n_exceptions from routed group by doc_id")
 def hybrid_failing_fallback(spark, sf_dir):
-    text, report = _hybrid(spark, sf_dir, "fail", PostEditSettings())
     n = F.coalesce(F.try_element_at("validation_failures", F.lit("llm_exception")), F.lit(0)).cast("long")
-    return text.join(report, ["doc_id", "unit_idx"]).select("doc_id", "text", "llm_calls", "llm_skipped", "fallback_count", n.alias("n_exceptions"))
+    return _hybrid(spark, sf_dir, "fail", PostEditSettings()).select("doc_id", "text", "llm_calls", "llm_skipped", "fallback_count", n.alias("n_exceptions"))
 
 
 _LINE_SEG = f"""lines as (
@@ -467,8 +490,7 @@ _LINE_REPORT = _with(_LINE_SEG, FEATURES, _routed(PostEditSettings()))
 
 def _line_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = segments.line_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    config = RunConfig()
-    return reports.unit_report(finalize(prepare(units, config, engines.identity()), config), None)
+    return translated(units, RunConfig(), engines.identity())
 
 
 def _flat(df: DataFrame, *keys: str) -> DataFrame:
@@ -494,13 +516,28 @@ def report_summary(spark, sf_dir):
     return reports.summarize(reports.merge_reports(_line_reports(spark, sf_dir)), rounded=False)
 
 
-@query(_with(SEG, _RAW, FEATURES, _routed(PostEditSettings())) + "select 'llm_exception' as reason, count(mode) as n from routed having count(mode) > 0")
+@query(f"select reason, count(*) as n, row_number() over (order by count(*) desc, reason) as place from ({_JUDGED}) where reason is not null group by reason")
+def failure_ranking_mixed(spark, sf_dir):
+    """Several reasons, some of them equally frequent, from one map a document."""
+    failed = _judged(spark, sf_dir).where("reason is not null").groupBy("doc_id").agg(reports.histogram(F.collect_list("reason")).alias("validation_failures"))
+    return reports.failure_ranking(failed).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_with(SEG, _RAW, FEATURES, _routed(PostEditSettings())) + "select 'llm_exception' as reason, count(mode) as n, cast(1 as bigint) as place from routed having count(mode) > 0")
 def failure_ranking(spark, sf_dir):
-    _, report = _hybrid(spark, sf_dir, "fail", PostEditSettings())
-    return reports.failure_ranking(report)
+    return reports.failure_ranking(_hybrid(spark, sf_dir, "fail", PostEditSettings())).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+_ENTRY = """'{"segment_index":' || seg_idx || ',"mode":"' || coalesce(mode, 'skip') || '","reason":"' || reason || '","char_count":' || char_count || ',"placeholder_count":' || mark_count || '}'"""
+
+
+@query(
+    _LINE_REPORT.rstrip() + f""",
+counted as (select doc_id, reason, count(*) as n from routed group by all),
+reasons as (select doc_id, string_agg('"' || reason || '":' || n, ',' order by reason) as said from counted group by doc_id),
+traces as (select doc_id, count(*) as n, string_agg({_ENTRY}, ',' order by unit_idx, seg_idx) as said from routed group by doc_id)
+select t.doc_id, '{{"segment_count":' || t.n || ',"routing_reasons":{{' || r.said || '}},"routing_trace":[' || t.said || ']}}' as report from traces t join reasons r on r.doc_id = t.doc_id"""
+)
 def report_json(spark, sf_dir):
     df = reports.merge_reports(_line_reports(spark, sf_dir))
     return df.select("doc_id", F.to_json(F.struct("segment_count", "routing_reasons", "routing_trace")).alias("report"))
@@ -516,11 +553,29 @@ def edge_whitespace(spark, sf_dir):
 
 @query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10) || chr(10)) || chr(10) as text from documents where text is not null")
 def sidecar_text(spark, sf_dir):
-    from ..sources.sinks import sidecar
+    units = segments.line_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id")
+    return sinks.sidecar(units, docs)
+
+
+_LINES = _with(_LINE_SEG.split("),\nseg as")[0] + ")", "said as (select doc_id, unit_idx, case when unit_idx % 3 = 0 then '> ' || text else text end as text from lines)")
 
+
+def _partly_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = segments.line_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sinks.with_fallback(units, units.where("unit_idx % 3 = 0").withColumn("text", F.concat(F.lit("> "), "text")))
+
+
+@query(_LINES + "select doc_id, string_agg(text, chr(10) order by unit_idx) as text from said group by doc_id")
+def text_sink(spark, sf_dir):
+    """Units without a translation keep their text."""
+    return sinks.text_file(_partly_translated(spark, sf_dir))
+
+
+@query(_LINES + "select doc_id, coalesce(string_agg(said.text, chr(10) order by unit_idx), '') || chr(10) as text from documents left join said using (doc_id) where documents.text is not null group by doc_id")
+def markdown_sink(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id")
-    return sidecar(units, docs)
+    return sinks.markdown_file(_partly_translated(spark, sf_dir), docs)
 
 
 @query("select doc_id, cast(length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) as bigint) as n_chars, length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) >= 20 as meaningful from documents where text is not null")

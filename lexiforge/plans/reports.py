@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.postedit import COUNTS
@@ -35,53 +35,53 @@ def histogram(values: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")))
 
 
-def unit_report(prepared: DataFrame, edited: DataFrame | None) -> DataFrame:
-    """One report per unit; `edited` adds what the post-edit counted."""
-    entry = F.struct(F.col("seg_idx").alias("segment_index"), F.when(F.col("decision.use_llm"), F.col("decision.mode")).otherwise("skip").alias("mode"), F.col("decision.reason").alias("reason"), F.length("draft").alias("char_count"), F.when(F.col("error").isNull(), F.col("mark_count")).otherwise(0).alias("placeholder_count"))
-    base = prepared.groupBy(*KEYS).agg(
-        F.count("*").alias("segment_count"), F.sum(F.col("error").isNotNull().cast("long")).alias("error_count"),
-        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seg_idx", "error")))).alias("_errors"),
-        F.sum((F.col("decision.mode") == "safe").cast("long")).alias("_safe"), F.sum((F.col("decision.mode") == "smart").cast("long")).alias("_smart"),
-        F.sum("replaced").alias("_replaced"), F.array_sort(F.collect_list(entry)).alias("routing_trace"),
-    )
-    base = base.withColumns({
-        "translated_count": F.col("segment_count") - F.col("error_count"), "skipped_count": F.lit(0).cast("long"), "errors": F.transform("_errors", lambda e: e["error"]),
-        "llm_safe_segments": F.coalesce("_safe", F.lit(0)).cast("long"), "llm_smart_segments": F.coalesce("_smart", F.lit(0)).cast("long"),
-        "routing_reasons": histogram(F.transform("routing_trace", lambda e: e["reason"])),
-    })
-    if edited is None:
-        extra = {c: F.lit(0).cast("long") for c in COUNTS} | {c: F.lit(0.0) for c in MEANS} | {c: F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")) for c in MAPS if c != "routing_reasons"}
-        report = base.withColumns(extra | {"glossary_replacements": F.col("_replaced").cast("long"), "chunk_trace": F.array().cast(_TRACE)})
-    else:
-        report = base.join(edited.drop("text", "segments"), KEYS)
+def _empty_map() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+
+
+def unit_report(units: DataFrame) -> DataFrame:
+    """Adds the report to units, in place of `rows`, their segments as the router saw them.
+
+    What the post-edit counted is taken where it is there, and is nothing elsewhere.
+    """
+    rows = F.col("rows")
+    failed = F.filter(rows, lambda x: x["error"].isNotNull())
+    count = lambda mode: F.size(F.filter(rows, lambda x: x["mode"] == mode)).cast("long")
+    entry = lambda x: F.struct(x["seg_idx"].alias("segment_index"), F.when(x["use_llm"], x["mode"]).otherwise("skip").alias("mode"), x["reason"].alias("reason"), x["chars"].alias("char_count"), F.when(x["error"].isNull(), x["mark_count"]).otherwise(0).alias("placeholder_count"))
+    own = {
+        "segment_count": F.size(rows).cast("long"), "error_count": F.size(failed).cast("long"), "translated_count": (F.size(rows) - F.size(failed)).cast("long"), "skipped_count": F.lit(0).cast("long"),
+        "errors": F.transform(failed, lambda x: x["error"]), "llm_safe_segments": count("safe"), "llm_smart_segments": count("smart"), "routing_trace": F.transform(rows, entry), "routing_reasons": histogram(F.transform(rows, lambda x: x["reason"])),
+    }
+    if "llm_calls" not in units.columns:
+        own |= {c: F.lit(0).cast("long") for c in COUNTS} | {c: F.lit(0.0) for c in MEANS} | {c: _empty_map() for c in MAPS if c != "routing_reasons"} | {"chunk_trace": F.array().cast(_TRACE)}
+        own["glossary_replacements"] = F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + x["replaced"])
     of = lambda key: F.coalesce(F.try_element_at("validation_failures", F.lit(key)), F.lit(0)).cast("long")
-    return report.withColumns({"placeholder_mismatch_count": of("placeholder_mismatch"), "glossary_placeholder_mismatch_count": of("glossary_placeholder_mismatch")}).drop("_errors", "_safe", "_smart", "_replaced")
+    return units.withColumns(own).withColumns({"placeholder_mismatch_count": of("placeholder_mismatch"), "glossary_placeholder_mismatch_count": of("glossary_placeholder_mismatch")}).drop("rows")
 
 
-def merged_maps(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+def _added(maps: Column) -> Column:
     """Maps of a group added key by key, as one map sorted by key."""
-    rows = df.select(*keys, F.explode(column).alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v"))
-    return rows.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias(column))
+    entries = F.flatten(F.transform(maps, F.map_entries))
+    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("long"), lambda n, e: n + e["value"])))
 
 
 def merge_reports(reports: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Reports of units as one per document: sums, weighted means, maps added.
 
     Segment latencies are weighted by calls, one at least, chunks' by chunks built.
+    One aggregation, so units are read, and made, once.
     """
     keys = keys or ["doc_id"]
     calls, chunks = F.greatest("llm_calls", F.lit(1)), F.greatest("llm_chunks_built", F.lit(1))
     over = lambda total, n: F.coalesce(F.try_divide(F.sum(total), F.sum(n)), F.lit(0.0))
     ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit_idx", c))), lambda x: x[c])).alias(c)
-    out = reports.groupBy(*keys).agg(
+    return reports.groupBy(*keys).agg(
         *(F.sum(c).alias(c) for c in SUMMED), F.max("max_chunk_size").alias("max_chunk_size"), over(F.col("avg_chunk_size") * F.col("llm_chunks_built"), "llm_chunks_built").alias("avg_chunk_size"),
         over(F.col("avg_llm_latency_per_segment") * calls, "llm_calls").alias("avg_llm_latency_per_segment"), over(F.col("avg_llm_latency_per_chunk") * chunks, "llm_chunks_built").alias("avg_llm_latency_per_chunk"),
         F.sum("placeholder_mismatch_count").alias("placeholder_mismatch_count"), F.sum("glossary_placeholder_mismatch_count").alias("glossary_placeholder_mismatch_count"),
-        ordered("errors"), ordered("routing_trace"), ordered("chunk_trace"),
-    )
-    for m in MAPS:
-        out = out.join(merged_maps(reports, keys, m), keys, "left").withColumn(m, F.coalesce(m, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))))
-    return out
+        ordered("errors"), ordered("routing_trace"), ordered("chunk_trace"), *(F.collect_list(m).alias(m) for m in MAPS),
+    ).withColumns({m: _added(F.col(m)) for m in MAPS})
 
 
 def _share(part: str) -> Column:
@@ -100,9 +100,10 @@ def summarize(reports: DataFrame, rounded: bool = True) -> DataFrame:
 
 
 def failure_ranking(reports: DataFrame, column: str = "validation_failures") -> DataFrame:
-    """All reasons with their counts and rank: the most frequent first, then by name."""
+    """All reasons with their counts and places: the most frequent first, then by name."""
     counted = reports.select(F.explode(column).alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "reason")
+    # There are as many rows as the rules have reasons.
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "reason"))).orderBy("place")
 
 
 #: Lines of the readable report: label and how its value is shown. Fixed values.

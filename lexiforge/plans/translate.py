@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineMode, RunConfig
-from ..functions import text as tx
 from ..operators import engines, glossary
-from ..operators.postedit import post_edit_units
+from ..operators.postedit import post_edit_units, reported
 from ..operators.routing import route
-from ..operators.segments import KEYS, rejoin, segment
+from ..operators.segments import KEYS, segment
+from ..operators.stored import stored
+from .reports import unit_report
 
 
 def prepare(units: DataFrame, config: RunConfig, engine=None) -> DataFrame:
@@ -36,20 +37,28 @@ def prepare(units: DataFrame, config: RunConfig, engine=None) -> DataFrame:
     return routed.withColumns({"decision": F.when(F.col("error").isNotNull(), none).otherwise(F.col("decision")), "can_chunk": F.col("can_chunk") & F.col("error").isNull()})
 
 
-def finalize(prepared: DataFrame, config: RunConfig) -> DataFrame:
-    """Adds `text`: terms restored and applied once more, spacing normalised."""
-    restored = glossary.restore(prepared, config.glossary, "draft", "marks", "final_restored")
-    applied = glossary.apply(restored, config.glossary, "final_restored", "final")
-    return applied.withColumns({"text": tx.normalize_spacing(F.col("final")), "replaced": F.col("replaced") + F.col("final_restored_n") + F.col("final_n")}).drop("final_restored", "final_restored_n", "final", "final_n")
+def translated(units: DataFrame, config: RunConfig, engine=None, edit=None) -> DataFrame:
+    """One row per unit: its text, its segments and its report.
+
+    A plan with one exchange, in which every engine is asked once for a segment
+    or chunk. Each action on it asks the engines anew.
+    """
+    prepared = prepare(units, config, engine)
+    if config.engine != EngineMode.ARGOS:
+        return unit_report(post_edit_units(prepared, config.glossary, config.settings, edit))
+    finished = glossary.finish(prepared, config.glossary, "draft", "marks", "text").withColumn("replaced", F.col("replaced") + F.col("text_n"))
+    rows = finished.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "text", *reported()))).alias("rows"))
+    segments = F.transform("rows", lambda x: F.struct(x["seg_idx"].alias("seg_idx"), x["text"].alias("final")))
+    return unit_report(rows.withColumns({"text": F.array_join(F.transform("rows", lambda x: x["text"]), " "), "segments": segments}))
 
 
 def translate_units(units: DataFrame, config: RunConfig, engine=None, edit=None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, unit_idx, text) of every unit, and a report of every unit."""
-    from .reports import unit_report
+    """(doc_id, unit_idx, text) of every unit, and a report of every unit.
 
-    prepared = prepare(units, config, engine)
-    if config.engine == EngineMode.ARGOS:
-        finished = finalize(prepared, config)
-        return rejoin(finished), unit_report(finished, None)
-    edited = post_edit_units(prepared, config.glossary, config.settings, edit)
-    return edited.select(*KEYS, "text"), unit_report(prepared, edited)
+    Where an engine is no column expression, the units are stored first, so that
+    both come from the same answers of the engine.
+    """
+    done = translated(units, config, engine, edit)
+    if edit is not None or not (engine is None or isinstance(engine, engines.NativeEngine)):
+        done = stored(done, "translated")
+    return done.select(*KEYS, "text"), done.drop("text", "segments")

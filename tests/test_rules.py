@@ -1,6 +1,11 @@
 """The plain rules, and the native expressions against them."""
 
 import random
+import re
+import sys
+import time
+import unicodedata
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,26 +132,30 @@ def test_router_rules(spark):
     assert {tuple(r.decision) for r in low if r.draft.startswith("__LT_A__ ")} == {(False, None, "high_placeholder_density")}
 
 
+def cut(run, most, chars):
+    """Pieces of a run of (place, length), each as long as the limits allow, and what ended them."""
+    pieces = []
+    while run:
+        n = max(k for k in range(1, len(run) + 1) if k == 1 or k <= most and sum(size for _, size in run[:k]) <= chars)
+        pieces.append((run[:n], chunks.MAX_SEGMENTS if n == most else chunks.MAX_CHARS))
+        run = run[n:]
+    return pieces
+
+
 def brute_chunks(rows, most, chars):
-    done, idx, total, why = [], [], 0, None
-
-    def flush():
-        nonlocal idx, total, why
-        if idx:
-            done.append((idx, total, why))
-            idx, total, why = [], 0, None
-
-    for k, (n, can) in enumerate(rows):
-        if not can:
-            why = chunks.MODE_CHANGE
-            flush()
-        else:
-            if idx and (len(idx) >= most or total + n > chars):
-                why = chunks.MAX_SEGMENTS if len(idx) >= most else chunks.MAX_CHARS
-                flush()
-            idx, total = [*idx, k], total + n
-    flush()
-    return done
+    """Runs of eligible segments first, each cut by the limits; then why each run ends."""
+    runs, out = [list(g) for _, g in groupby(enumerate(rows), key=lambda x: x[1][1])], []
+    for at, run in enumerate(runs):
+        if run[0][1][1]:
+            pieces = cut([(k, n) for k, (n, _) in run], most, chars)
+            before = len(runs[at - 1]) if at else 0
+            if at + 1 < len(runs):
+                last = chunks.MODE_CHANGE
+            else:  # the unit's end has no reason but one left over from a gap that no chunk used up
+                last = chunks.MODE_CHANGE if len(pieces) == 1 and before > (at > 1) else None
+            whys = [why for _, why in pieces[:-1]] + [last]
+            out += [([k for k, _ in piece], sum(n for _, n in piece), why) for (piece, _), why in zip(pieces, whys, strict=True)]
+    return out
 
 
 def test_packer_equals_a_loop(spark):
@@ -170,7 +179,7 @@ def test_payload_and_parsing(spark):
 
 
 def test_chunk_fallback_goes_over_all_members():
-    rows = [{"source": f"s{k}", "draft": f"draft number {k} of a unit with some words", "marks": [], "replaced": 0, "use_llm": True, "mode": "safe"} for k in range(3)]
+    rows = [{"seg_idx": k, "source": f"s{k}", "draft": f"draft number {k} of a unit with some words", "marks": [], "mode": "safe"} for k in range(3)]
     chunk = {"segment_indices": [0, 1, 2], "routing_mode": "safe", "boundary_reason": None, "character_count": 9, "placeholder_count": 0}
     s = PostEditSettings(enable_chunking=True)
     out = postedit.Unit(rows, (), s, engines.echo).run([chunk])
@@ -178,7 +187,61 @@ def test_chunk_fallback_goes_over_all_members():
     out = postedit.Unit(rows, (), s, engines.broken_markers).run([chunk])
     assert (out["llm_calls"], out["llm_calls_saved_by_chunking"], out["chunk_fallbacks"]) == (4, 0, 1) and dict(out["validation_failures"]) == {"missing_segment": 1}
     out = postedit.Unit(rows, (), s, None).run([chunk])
-    assert (out["llm_calls"], out["chunk_fallbacks"], out["text"]) == (4, 1, " ".join(r["draft"] for r in rows))
+    assert (out["llm_calls"], out["chunk_fallbacks"], [e["final"] for e in out["edited"]]) == (4, 1, [r["draft"] for r in rows])
+
+
+def test_latency_is_the_engines_alone():
+    def slow(source, draft, entries, mode):
+        time.sleep(0.02)
+        return draft
+
+    rows = [{"seg_idx": 4, "source": "s", "draft": "a draft of some words", "marks": [], "mode": "safe"}]
+    out = postedit.Unit(rows, (), PostEditSettings(), slow).run([])
+    assert 0.02 <= out["avg_llm_latency_per_segment"] < 0.2
+    assert postedit.Unit(rows, (), PostEditSettings(), None).run([])["avg_llm_latency_per_segment"] == 0
+
+
+def test_native_classes_are_pythons(spark):
+    """Every assigned code point but surrogates: a word character, white space, and the edge of a term."""
+    signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    c = F.col("text")
+    df = frame(spark, signs).select(
+        "text", F.rlike(c, F.lit(tx.java_pattern(r"\w"))).alias("w"), tx.is_blank(c).alias("s"), F.rlike(F.concat(F.lit("lot"), c), F.lit(tx.term_pattern("lot"))).alias("after"),
+        F.rlike(F.concat(c, F.lit("LOT")), F.lit(tx.term_pattern("lot"))).alias("before"), F.rlike(c, F.lit(r"\p{Cn}")).alias("new"),
+    )
+    known = df.collect()
+    # Characters of a later Unicode version than this Java's are left to it.
+    assert {r.text for r in known if r.w != bool(re.match(r"\w", r.text))} <= {r.text for r in known if r.new}
+    for r in known:
+        assert r.s == r.text.isspace(), hex(ord(r.text))
+        if not r.new:
+            assert r.after == bool(plain.bounded("lot", True).search("lot" + r.text)) and r.before == bool(plain.bounded("lot", True).search(r.text + "LOT")), hex(ord(r.text))
+
+
+ODD = ["lot\u0301", "lot\u200d", "LOT\u00b2", "lot\u2040x", "\u0301lot", "lot\u1d7ce", "lot\u216b", "lot_", "\u203flot", "one.\x1ctwo", "a\u200cb lot", "LT\u0301GLOSSARY TERM 0000", "__LT_GLOSSARY_TERM_0000__\u00b2", "x\x1f lot"]
+
+
+@pytest.mark.parametrize("native", [True, False])
+def test_marks_joiners_and_numbers_at_terms(spark, monkeypatch, native):
+    monkeypatch.setattr(glossary, "NATIVE_TERMS", 24 if native else 0)
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choices(["lot", "Lot", "\u0301", "\u200d", "\u00b2", "\u2040", "_", " ", "\x1c", "recette", "é", "-"], k=8)) for _ in range(150)]
+    df = glossary.protect(glossary.apply(frame(spark, texts), TERMS), TERMS)
+    df = glossary.finish(glossary.restore(df, TERMS, "protected", "protected_map"), TERMS, "protected", "protected_map")
+    for r in df.collect():
+        assert (r.applied, r.applied_n) == plain.apply_glossary(r.text, TERMS)
+        text, marks, n = plain.protect_terms(r.text, TERMS)
+        assert (r.protected, r.protected_n) == (text, n) and (r.restored, r.restored_n) == plain.restore_terms(text, marks)
+        back, n = plain.restore_terms(text, marks)
+        final, m = plain.apply_glossary(back, TERMS)
+        assert (r.final, r.final_n) == (plain.normalize_spacing(final), n + m)
+
+
+def test_odd_tokens_equal_the_plain_rules(spark):
+    rng = random.Random(5)
+    parts = ["a_b", "x1", "v1.2", "3,5%", "5", "\u0301", "\u200d", "\u00b2", "\u2040", " ", "\x1c", "é", "cmd --flag=1", "a@b.cd", "http://x/y", "`c`", "camelCase"]
+    for r in tokens.protect_tokens(frame(spark, ["".join(rng.choices(parts, k=6)) for _ in range(400)])).collect():
+        assert (r.marked, [(m.ph, m.lit) for m in r.marked_map]) == plain.protect_tokens(r.text)
 
 
 def test_prompt_and_budget():
