@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import released, scratch, written
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -30,12 +30,16 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(u, root) of every node of an edge (u, v); the root is the least node.
 
-    Self-loops and repeated edges do no harm; no edges give no rows.
+    Self-loops and repeated edges do no harm; no edges give no rows. Of a round's
+    tables only its edges outlive it, and only until the next round.
     """
-    edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", keep=True)
     before = None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "edges")
+        with scratch():
+            following = written(_star(_star(edges, True), False), "edges", keep=True)
+        released(edges)
+        edges = following
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

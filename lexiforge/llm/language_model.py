@@ -18,7 +18,8 @@ Counts of frequent words (a bounded number) are broadcast. All others are joined
 each document sends the words that it lacks counts for. Words are known by 64-bit
 fingerprints.
 
-Defined results: a null or empty text is the end token alone; a row without id
+Defined results: a null or empty text is the end token alone; a very long text is
+scored as a whole; words of equal count (ties) are ordered by fingerprint; a row without id
 isn't held out; repeated rows each give a row (and count in training each); with
 no training documents every count is 0 and the model is uniform; other columns
 are ignored; an empty table gives an empty result.

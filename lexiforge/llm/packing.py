@@ -14,7 +14,8 @@ proportion to its cuts. The stream is optimised in stretches; the last sequence
 of a stretch is open and goes into the next. Nothing is shuffled, and a sequence
 never spans partitions.
 
-Defined results: a null or empty text is the end id alone; every id lies in
+Defined results: a null or empty text is the end id alone; a very long text is cut
+like any other; of equally cheap cuts (ties) the latest is taken; every id lies in
 exactly one piece; rows are packed one by one, so repeated rows each give pieces;
 other columns are ignored; an empty table gives no rows.
 """

@@ -5,10 +5,12 @@ takes many. A run of key characters with few characters per token under a
 tiktoken vocabulary is therefore a secret, unless it is a digest of a known
 length, a UUID or an identifier made of plain parts.
 
-Defined results: null is an empty text and has no spans; overlapping spans of
-different kinds are all reported, but a run that a pattern already covers isn't
-tested; rows are scanned one by one, so repeated rows each give a row; other
-columns of the input are ignored; an empty table gives an empty result.
+Defined results: null is an empty text and has no spans; a very long text is a
+block of its own; spans that begin at one place (ties) stand in the order of the
+kinds; overlapping spans of different kinds are all reported, but a run that a
+pattern already covers isn't tested; rows are scanned one by one, so repeated rows
+each give a row; other columns of the input are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

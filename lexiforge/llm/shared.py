@@ -1,67 +1,23 @@
-"""Places and helpers that all operators of this package share."""
+"""Helpers that all operators of this package share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Only where the session names none (as in tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    had = sc._jsc.sc().getCheckpointDir()
-    if had.isDefined():
-        return str(had.get()).rstrip("/")
-    own = tempfile.mkdtemp(prefix="lexiforge-")
-    sc.setCheckpointDir("file://" + own)
-    return "file://" + own
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_MADE: list[tuple[SparkSession, str]] = []
+from ..operators.stored import delete_path, released, scratch, shared_dir, table_path
+from ..operators.stored import stored as written
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _MADE:
-        try:
-            delete_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session is gone already
-            return
-
-
-def table_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/lexiforge/{tag}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
-
-    It cuts the lineage and survives the loss of executors.
-    """
-    path = table_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as keep it from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+__all__ = ["delete_path", "documents", "free_name", "released", "scratch", "shared_dir", "table_path", "written"]
