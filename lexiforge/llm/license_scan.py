@@ -1,22 +1,27 @@
 """License scans with a positional rare-token index.
 
-Licence templates are word sequences. The index keeps, for the words of highest
-IDF in each template, the postings (template, position). A file's words are
-looked up there; every posting proposes a start of the template in the file, and
-proposals that agree are intersected by relative position. A start holds if
-enough rare words agree and all mandatory key phrases stand at their place, give
-or take a few inserted words.
+Licence texts and notices are templates, word sequences. Over all documents it is
+counted how many hold each word of the templates, one count a word from each task.
+The index keeps, for the words of highest IDF in each template, the postings
+(template, position). A file's words are looked up there; every posting proposes a
+start of the template in the file, and proposals that agree are intersected by
+relative position. A start holds if enough rare words agree and all mandatory key
+phrases stand at their place, give or take a few inserted words, more in a long
+template.
 
 Short phrases are templates of which every word is mandatory; they are found
 exactly, wherever they stand.
 
-Defined results: a null text is empty and has no places; repeated rows each give
-a row; other columns are ignored; an empty table gives an empty result.
+Defined results: a null text is empty and has no places; a very long text is a
+block of its own; words of equal IDF (ties) are taken in the template's order;
+repeated rows each give a row and count each; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .licenses import TEXTS
 from .shared import documents
 
 
@@ -45,14 +51,18 @@ def phrase(text: str, label: str) -> Template:
     return Template(text, label, words, ((0, len(words)),))
 
 
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
 def template(name: str, label: str, text: str) -> Template:
     """`[[...]]` marks the mandatory phrases of the text."""
     words: list[str] = []
     keys = []
     for k, part in enumerate(text.replace("]]", "[[").split("[[")):
+        found = _WORD.findall(part.lower())
         if k % 2:
-            keys.append((len(words), len(part.split())))
-        words += part.split()
+            keys.append((len(words), len(found)))
+        words += found
     return Template(name, label, tuple(words), tuple(keys))
 
 
@@ -64,7 +74,7 @@ PHRASES = (
     phrase("mit license", "mit"),
 )
 
-#: Notices of public licences, with labels of the method.
+#: Phrases, notices and texts of public licences, with labels of the method.
 NOTICES = (
     phrase("gnu lesser general public license", "lgpl"),
     phrase("gnu affero general public license", "agpl"),
@@ -72,32 +82,53 @@ NOTICES = (
     phrase("eclipse public license", "epl"),
     phrase("boost software license", "bsl"),
     phrase("cc0 1 0 universal", "cc0"),
-    template("mit-grant", "mit", "[[permission is hereby granted free of charge to any person obtaining a copy]] of this software and associated documentation files the software to deal in the software [[without restriction]] including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    template("isc-grant", "isc", "permission to use copy modify and or distribute this software for any purpose [[with or without fee is hereby granted]] provided that the above copyright notice and this permission notice appear in all copies"),
-    template("bsd-grant", "bsd", "[[redistribution and use in source and binary forms]] with or without modification are permitted provided that [[the following conditions are met]]"),
-    template("apache-notice", "apache", "licensed under the [[apache license version 2 0]] the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    template("gpl-notice", "gpl", "this program is free software you can [[redistribute it and or modify it under the terms of the]] gnu general public license [[as published by the free software foundation]]"),
-    template("public-domain", "unlicense", "this is free and unencumbered software [[released into the public domain]]"),
-)
+    *(template(*t) for t in TEXTS),
+)
 
 RARE_WORDS = 8
 LEAST_AGREEMENT = 0.6
-SLACK = 4
+#: Words inserted or lost before a place that are put up with, and one more for so many words of the template.
+SLACK, SLACK_WORDS = 4, 64
+
+
+def frequencies(docs: DataFrame, templates: tuple[Template, ...], text_col: str = "text") -> tuple[dict[str, int], int]:
+    """Documents that hold each word of the templates, and all documents."""
+    words = sorted({w for t in templates for w in t.words})
+    keys = ts.hash_words(words)
+    order = np.argsort(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, n = keys[order], np.zeros(len(words), np.int64), 0
+        for batch in batches:
+            for i, j, data, offsets in ts.blocks(batch.column(0)):
+                s = ts.scan(data, offsets, ts.ALNUM)
+                at = np.minimum(np.searchsorted(known, s.hash), len(known) - 1)
+                mine = known[at] == s.hash
+                pairs = np.unique(s.doc[mine] * len(words) + at[mine])
+                total += np.bincount(pairs % len(words), minlength=len(words))
+                n += j - i
+        yield pa.RecordBatch.from_pydict({"word": np.append(order, -1), "n": np.append(total, n)})
+
+    found = {r[0]: r[1] for r in docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").sum("n").collect()}
+    return {w: found.get(k, 0) for k, w in enumerate(words)}, found.get(-1, 0)
 
 
 class Index:
     """Postings of the rarest words of each template."""
 
-    def __init__(self, templates: tuple[Template, ...], rare_words: int = RARE_WORDS):
+    def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int] | None = None, documents: int = 0, rare_words: int = RARE_WORDS):
+        """`frequency` is how many of the documents hold a word; without it, templates are counted."""
         self.templates = templates
-        df = Counter(w for t in templates for w in set(t.words))
-        self.idf = {w: math.log(1 + len(templates) / n) for w, n in df.items()}
+        if frequency is None:
+            frequency, documents = Counter(w for t in templates for w in set(t.words)), len(templates)
+        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for t in templates for w in t.words}
         self.hashes = [ts.hash_words(list(t.words)) for t in templates]
         self.rare: list[list[int]] = []
         postings: dict[int, list[tuple[int, int]]] = {}
         for k, t in enumerate(templates):
             exact = t.keys == ((0, len(t.words)),)
-            at = sorted(range(len(t.words)), key=lambda i: (-self.idf[t.words[i]], i))[: 1 if exact else rare_words]
+            firsts = [i for i, w in enumerate(t.words) if t.words.index(w) == i]
+            at = sorted(firsts, key=lambda i: (-self.idf[t.words[i]], i))[: 1 if exact else rare_words]
             self.rare.append(at)
             for i in at:
                 postings.setdefault(int(self.hashes[k][i]), []).append((k, i))
@@ -123,18 +154,18 @@ class Index:
             mine = which == k
             if not mine.any():
                 continue
-            size, rare = len(t.words), self.rare[k]
+            size, rare, near = len(t.words), self.rare[k], slack + len(t.words) // SLACK_WORDS
             pairs, votes = np.unique(np.stack([doc[mine], start[mine]], 1), axis=0, return_counts=True)
             d, at = pairs[:, 0], pairs[:, 1]
             if len(rare) > 1:  # proposals a few words apart stand for inserted or lost words
-                votes = self._near(d, at, votes, slack)
+                votes = self._near(d, at, votes, near)
             ok = votes >= max(1, math.ceil(least * len(rare)))
             d, at = d[ok], at[ok]
             low, high = s.first[d], s.first[d + 1]
             exact = t.keys == ((0, size),)
             for first, length in t.keys:
                 held = np.zeros(len(at), bool)
-                for shift in (0,) if exact else range(-slack, slack + 1):
+                for shift in (0,) if exact else range(-near, near + 1):
                     held |= self._stands(s, k, first, length, at + shift, low, high)
                 d, at, low, high = d[held], at[held], low[held], high[held]
             if not len(at):
@@ -174,9 +205,10 @@ def scan_licenses(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, noti
     """
     templates, n_base = (*phrases, *notices), len(phrases)
     labels = np.array([t.label for t in templates], object)
+    frequency, n_docs = frequencies(docs, templates, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates, frequency, n_docs)
         for batch in batches:
             for i, j, data, offsets in ts.blocks(batch.column(1)):
                 s, n = ts.scan(data, offsets, ts.ALNUM), j - i

@@ -45,5 +45,36 @@ def test_templates_need_their_key_phrases(spark):
     assert got[0].score == 1 and 0.9 < got[1].score < 1
 
 
+def test_every_template_is_found(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choices(["of", "the", "river", "and", "software", "license", "use"], k=n))
+    whole = [t for t in ls.NOTICES if len(t.words) > 12]
+    cases = [f"{prose(40)} {' '.join(t.words)} {prose(40)}" for t in whole]
+    # A few words changed, and two inserted after the first key phrase.
+    for t in whole:
+        w, free = list(t.words), [i for i in range(len(t.words)) if not any(a <= i < a + n for a, n in t.keys)]
+        for i in rng.sample(free, len(free) // 8):
+            w[i] = "changed"
+        a = sum(t.keys[0])
+        cases.append(prose(30) + " " + " ".join(w[:a] + ["two", "more"] + w[a:]))
+    cases += [prose(200) for _ in range(40)]
+    got = sorted(ls.scan_licenses(spark.createDataFrame(rows(cases), SCHEMA)).collect())
+    for r, t in zip(got, whole * 2):
+        assert t.label in r.labels.split(","), t.name
+    assert all(r.labels == "" for r in got[2 * len(whole) :])
+    assert all(r.score == 1 for r in got[: len(whole)])
+
+
+def test_rare_words_are_rare_in_the_documents(spark):
+    common = "merchantability noninfringement sublicense person"
+    df = spark.createDataFrame(rows([common + f" word{k}" for k in range(30)] + [None, ""]), SCHEMA)
+    frequency, n = ls.frequencies(df, ls.NOTICES)
+    assert n == 32 and frequency["sublicense"] == 30 and frequency["tort"] == 0
+    index = ls.Index(ls.NOTICES, frequency, n)
+    k = [t.name for t in ls.NOTICES].index("mit-text")
+    rare = {ls.NOTICES[k].words[i] for i in index.rare[k]}
+    assert len(rare) == ls.RARE_WORDS and not rare & set(common.split())
+
+
 def test_empty_table(spark):
     assert ls.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
