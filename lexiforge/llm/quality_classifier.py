@@ -8,10 +8,12 @@ document then meets all labelled vectors, in blocks of exact cosine products, an
 its nearest neighbours vote with weights that grow with their similarity.
 
 Defined results: a null or empty text is the null vector, on which every labelled
-vector has the same vote; without labelled rows every score is 0.5; labels of
-rows without text or with a null label aren't learnt; of several labels of a
-document the mean decides; repeated rows each give a row; other columns are
-ignored; an empty table gives an empty result.
+vector has the same vote; neighbours of equal similarity to the last one (ties)
+share its place evenly; a very long text is a block of its own; without labelled
+rows every score is 0.5; labels of rows without text or with a null label aren't
+learnt; of several labels of a document the mean decides, of several texts of an
+id the one of lowest hash is learnt; repeated rows each give a row; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,33 +119,32 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndar
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `most` labelled documents."""
+    """Features and labels of at most `most` labelled documents, by ascending id.
+
+    Of several texts of an id, the one of lowest hash is learnt; they are reduced to
+    one by a grouping, before anything is collected.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
-    chosen = {r[0]: r[1] for r in known.orderBy(F.xxhash64("_id"), "_id").limit(most).collect()}
-    shipped = docs.sparkSession.sparkContext.broadcast(chosen)
+    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            mine = pa.array([i in shipped.value for i in ids], pa.bool_())
-            batch, ids = batch.filter(mine), [i for i in ids if i in shipped.value]
-            for i, j, data, offsets in ts.blocks(batch.column(1), block_rows=BLOCK_ROWS):
+            for i, j, data, offsets in ts.blocks(batch.column(2), block_rows=BLOCK_ROWS):
                 rows = features(data, offsets)
                 doc, term = np.nonzero(rows)
                 bounds = np.searchsorted(doc, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[i + d] for d in range(j - i)], pa.int64()), pa.array([shipped.value[ids[i + d]] for d in range(j - i)], pa.int32()),
-                        pa.array([term[a:b].astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()),
+                        batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([term[a:b].astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()),
                         pa.array([rows[d, term[bounds[d] : bounds[d + 1]]].astype("<f4").tobytes() for d in range(j - i)], pa.binary()),
                     ],
                     names=["id", "label", "term", "value"],
                 )
 
-    texts = docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    found = texts.mapInArrow(run, "id long, label int, term binary, value binary").collect() if chosen else []
-    found = list({r.id: r for r in sorted(found, key=lambda r: (r.id, bytes(r.value)))}.values())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
+    chosen = texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    found = sorted(chosen.mapInArrow(run, "id long, label int, term binary, value binary").collect(), key=lambda r: r.id)
     rows = np.zeros((len(found), TERMS), np.float32)
     for k, r in enumerate(found):
         rows[k, np.frombuffer(r.term, "<u2")] = np.frombuffer(r.value, "<f4")
@@ -165,16 +166,24 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours: int = NEIGHBOURS, power: float = POWER, block: int = 1024) -> np.ndarray:
-    """Weighted share of label 1 among the nearest of the known unit vectors."""
+    """Weighted share of label 1 among the nearest of the known unit vectors.
+
+    Vectors that are as near as the last neighbour share its place, or places, evenly.
+    """
     out = np.full(len(vectors), 0.5)
     if not len(known):
         return out
+    k = min(neighbours, len(known))
     for a in range(0, len(vectors), block):
         cosine = vectors[a : a + block] @ known.T
-        k = min(neighbours, len(known))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-6) ** power
-        out[a : a + block] = (weight * labels[near]).sum(1) / weight.sum(1)
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1]
+        row, near = np.nonzero(cosine >= last[:, None])
+        value = cosine[row, near].astype(np.float64)
+        tied = value == last[row]
+        n, n_tied = len(cosine), np.bincount(row[tied], minlength=len(cosine))
+        places = k - np.bincount(row[~tied], minlength=n)
+        weight = np.maximum(value, 1e-6) ** power * np.where(tied, (places / n_tied)[row], 1.0)
+        out[a : a + block] = np.bincount(row, weight * labels[near], n) / np.bincount(row, weight, n)
     null = ~vectors.any(axis=1)
     out[null] = labels.mean()
     return np.clip(out, 0, 1)
