@@ -8,10 +8,13 @@ value follows in a list of its own.
 
 A file's record (one row of a Parquet file, so every store that Spark writes to
 will do) holds whole documents: their ids and lengths, the place of the first id
-in the shard, and the payload. Shards are ranges of doc_id in ascending order.
+in the shard, and the payload. Shards are ranges of doc_id in ascending order, as
+many as the input's bytes need. Ranges go on by the text's hash and the row's place
+in the input, so an id with very many rows, or rows without id, fill several shards.
 
-Defined results: a null or empty text is the end id alone; rows without doc_id
-come first; rows with the same doc_id are ordered by their text; other columns
+Defined results: a null or empty text is the end id alone; a very long text is a
+record of its own; rows without doc_id come first; rows with the same doc_id (ties)
+are ordered by the hash of their text, and equal rows by their place; other columns
 are ignored; an empty table gives no rows.
 """
 
@@ -36,6 +39,8 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 RECORD_IDS = 1 << 18
+#: Bytes of input, as Spark estimates them from the files, that make a shard.
+SHARD_BYTES = 128 << 20
 _ESCAPE = np.uint64((1 << 60) - 1)
 _MAGIC = b"S8B1"
 
@@ -138,11 +143,19 @@ def decode(payload: bytes) -> np.ndarray:
 RECORD = "shard int, first long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
+def input_bytes(docs: DataFrame, text_col: str) -> int:
+    """The optimizer's estimate, or where it has none, the bytes of all texts."""
+    size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Write the ids of all documents in ascending order of `id_col`."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, text_col) // SHARD_BYTES))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ["doc_id", "h", "place"]
+    placed = docs.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first, enc = TaskContext.get().partitionId(), 0, encoder(vocabulary)
@@ -172,9 +185,10 @@ def digest_token_ids(spark: SparkSession, path: str) -> DataFrame:
 def _read(spark: SparkSession, path: str, made, column: str) -> DataFrame:
     records = spark.read.schema(RECORD).parquet(path)
     totals = records.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()
-    before, total = {}, 0
-    for shard, n in sorted(totals):
-        before[shard], total = total, total + n
+    sizes = np.zeros(max((r.shard for r in totals), default=-1) + 2, np.int64)  # 8 bytes a shard
+    for r in totals:
+        sizes[r.shard + 1] = r.n
+    before = np.cumsum(sizes)
     name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

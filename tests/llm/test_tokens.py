@@ -1,13 +1,14 @@
 import json
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiforge.llm import packing, token_output
 from lexiforge.llm import textscan as ts
@@ -73,7 +74,8 @@ def test_token_files(spark, tmp_path):
     df = spark.createDataFrame(shuffled, SCHEMA)
     token_output.write_token_ids(df, path, default_path(FILES[0]), partitions=3)
     got = sorted(token_output.digest_token_ids(spark, path).collect(), key=lambda r: r.start)
-    in_order = sorted(shuffled, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    in_order = sorted(shuffled, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     start = 0
     for r, (i, t, *_) in zip(got, in_order, strict=True):
         ids = wanted(FILES[0], [t])[0] + [2]
@@ -85,6 +87,19 @@ def test_token_files(spark, tmp_path):
     assert token_output.digest_token_ids(spark, path + "0").count() == 0
 
 
+def test_a_hot_id_fills_several_shards(spark, tmp_path, monkeypatch):
+    path, texts = str(tmp_path / "hot"), ["same text"] * 300 + [f"text {k}" for k in range(100)]
+    df = spark.createDataFrame([(7, t) for t in texts] + [(None, "none")] * 50 + [(9, "last")], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(token_output, "SHARD_BYTES", 500)
+    token_output.write_token_ids(df, path, default_path(FILES[0]))
+    by_shard = {r.shard: r.n for r in spark.read.parquet(path).groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()}
+    assert len(by_shard) >= 6 and max(by_shard.values()) < 200
+    got = sorted(token_output.digest_token_ids(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 50 + [7] * 400 + [9]
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert Counter(r.ids_crc32 for r in got) == Counter(crc(x + [2]) for x in wanted(FILES[0], texts + ["none"] * 50 + ["last"]))
+
+
 def brute_cost(place, penalty, size):
     places, best = [0, *place], [0.0]
     for j in range(1, len(places)):
