@@ -15,9 +15,11 @@ Classes with a near partner there get their sets and are compared in the same
 tiles, so no pairs are written, only links. Links go to connected components.
 
 Defined results: documents without words have an empty set, are in a component of
-their own and are kept; rows without id are never linked and are kept; rows with
-one id count as one document; other columns are ignored; an empty table gives an
-empty result.
+their own and are kept; a very long text is a block of its own; a similarity of
+exactly the threshold (a tie) is a link; rows without id are never linked and are
+kept; rows with one id count as one document, and ids are taken to be unique
+otherwise: of different texts with one id, one stands for all of them; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .components import connected_components
-from .shared import documents, written
+from .shared import documents, free_name, released, scratch, written
 
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, HASHES = 24, 4, 192
 #: Classes on a side of a tile, bytes of their sets there, and pairs of a leader that go to one salt.
-TILE, TILE_BYTES, SALT = 1024, 16 << 20, 1000
+TILE, TILE_BYTES, SALT = 320, 16 << 20, 1000
 SIGMAS = 5.0
 #: Bits of the map that keeps texts nobody asks for out of the exchange.
 MAP_BITS = 1 << 23
@@ -127,7 +129,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Sets of the wanted documents, as a table.
+    """Sets of the wanted documents (distinct), as a table.
 
     A bitmap of fixed size, by hash of the id, is joined to all documents first
     (2^17 rows at most, so broadcast), and the exchange moves few other texts;
@@ -138,7 +140,9 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {MAP_BITS}) % 64 as int))")
     words = written(wanted.groupBy(F.shiftright(place("doc"), 6).alias("at")).agg(F.bit_or(bit).alias("bits")), "bitmap")
     asked = docs.join(F.broadcast(words), F.shiftright(place("doc_id"), 6) == F.col("at")).where(f"shiftright(bits, cast(pmod(xxhash64(doc_id), {MAP_BITS}) % 64 as int)) & 1 = 1").select("doc_id", "text")
-    return written(_sets(asked.join(wanted, asked.doc_id == wanted.doc, "left_semi"), shingle), "sets")
+    # No semi-join, which the optimizer would put before the bitmap; `wanted` is distinct. Joined by an
+    # exchange also where few are wanted: their sets are then few files, not one for each task of the scan.
+    return written(_sets(asked.join(wanted.hint("merge"), asked.doc_id == wanted.doc).select("doc_id", "text"), shingle), "sets")
 
 
 def similar(a: bytes, b: bytes, percent: int) -> bool:
@@ -185,13 +189,13 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int
 
 
 def _unsettled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows (key, doc, comp, n) of buckets with classes of several components."""
-    if roots is None:
+    """Rows (key, doc, comp) of buckets with classes of several components."""
+    if roots is None:  # read off the signatures again rather than written, 24 rows a class
         labelled = buckets.withColumn("comp", F.col("doc"))
     else:
-        labelled = buckets.join(roots.withColumnRenamed("u", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("comp"))
-    some = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
-    return written(written(labelled, "labelled").join(written(some, "unsettled"), "key"), "buckets")
+        labelled = written(buckets.join(roots.withColumnRenamed("u", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("comp")), "labelled")
+    some = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    return written(labelled.join(written(some, "unsettled"), "key"), "buckets")
 
 
 def _led(rows: DataFrame, turn: int) -> DataFrame:
@@ -208,10 +212,10 @@ def _tiled(rows: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, pe
     all others go to every tile row, and also have a home. Both sides are cut, by
     classes and by the bytes of their sets, whichever makes more tiles.
     """
-    rows = rows.drop("n").join(signed.select("doc", "signature", "bands", "n_shingles"), "doc")
-    sizes = rows.groupBy("key", "comp").agg(F.sum(F.greatest(F.lit(1 / TILE), 8 * F.col("n_shingles") / TILE_BYTES)).alias("m"), F.count("*").alias("c"))
+    weight = F.greatest(F.lit(1 / TILE), 8 * F.col("n_shingles") / TILE_BYTES)
+    sizes = rows.join(signed.select("doc", weight.alias("w")), "doc").groupBy("key", "comp").agg(F.sum("w").alias("m"), F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "m")).alias("x"), F.sum("m").alias("n")).select("key", F.col("x.comp").alias("main"), F.ceil("n").cast("int").alias("homes"), F.ceil(F.greatest(F.lit(1 / TILE), F.col("n") - F.col("x.m"))).cast("int").alias("guests"))
-    rows = rows.join(written(main, "mains"), "key")
+    rows = rows.join(written(main, "mains"), "key").join(signed.select("doc", "signature", "bands"), "doc")
     hashed = lambda n, seed: F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), n).cast("int")
     home = rows.select("key", hashed(F.col("homes"), 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("y"), F.lit(True).alias("home"), "doc", "comp", "signature", "bands")
     guest = rows.where("comp != main").select("key", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("x"), hashed(F.col("guests"), 2).alias("y"), F.lit(False).alias("home"), "doc", "comp", "signature", "bands")
@@ -257,29 +261,33 @@ def _tiled(rows: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, pe
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     tile = "key long, x int, y int, home boolean, doc long, comp long, signature binary, bands array<long>"
-    met = written(home.unionByName(guest).groupBy("key", "x", "y").applyInArrow(meet, tile), "met")
+    # Dealt by tile outright: rows that a join has dealt by key would stay so, a hot bucket in one task.
+    met = written(home.unionByName(guest).repartition("key", "x", "y").groupBy("key", "x", "y").applyInArrow(meet, tile), "met")
     sets = _wanted_sets(docs, written(met.select("doc").distinct(), "wanted"), shingle)
     return met.join(sets, "doc").groupBy("key", "x", "y").applyInArrow(check, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    signed = written(sign(docs, shingle, id_col, text_col), "signed")
+    signed = written(sign(docs, shingle, id_col, text_col), "signed", keep=True)
     some = signed.where("digest is not null and doc_id is not null")
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
-    reps = written(some.join(classes, [some.digest == classes.digest, some.doc_id == classes["class"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "signature"), "reps")
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes", keep=True)
+    reps = written(some.join(classes, [some.digest == classes.digest, some.doc_id == classes["class"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "signature"), "reps", keep=True)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _unsettled(reps.select(F.explode("bands").alias("key"), "doc"), None)
     links = roots = None
-    for turn in range(rounds + 1):
-        found = _verified(_led(rows, turn), reps, texts, shingle, percent) if turn < rounds else _tiled(rows, reps, texts, shingle, percent)
-        found = written(found, "links")
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-        if turn < rounds:
-            rows = _unsettled(rows.select("key", "doc"), roots)
-            if rows.isEmpty():
-                break
+    with scratch():
+        rows = _unsettled(reps.select(F.explode("bands").alias("key"), "doc"), None)
+        for turn in range(rounds + 1):
+            with scratch():
+                found = _verified(_led(rows, turn), reps, texts, shingle, percent) if turn < rounds else _tiled(rows, reps, texts, shingle, percent)
+                found = written(found, "links", keep=True)
+            links = found if links is None else links.unionByName(found)
+            roots = connected_components(links)
+            if turn < rounds:
+                rows = _unsettled(rows.select("key", "doc"), roots)
+                if rows.isEmpty():
+                    break
+    released(reps)
     out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(roots.withColumnRenamed("u", "class"), "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -287,10 +295,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which no near-duplicate has a smaller id, unchanged."""
-    gone = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = written(gone, "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+#: DuckDB SQL of `op2_near_dedup`; ids are taken to be unique.
+ORACLE = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct r, array_to_string(list_slice(w, i, i + 2), ' ') as said
+  from (select r, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)),
+sizes as (select r, count(*) as n from shingles group by r),
+common as (select a.r as a, b.r as b, count(*) as n from shingles a join shingles b on a.said = b.said and a.r < b.r group by all),
+pairs as (
+  select x.doc_id as u, y.doc_id as v
+  from common c join sizes sa on sa.r = c.a join sizes sb on sb.r = c.b join d x on x.r = c.a join d y on y.r = c.b
+  where 100 * c.n >= 85 * (sa.n + sb.n - c.n) and x.doc_id is not null and y.doc_id is not null),
+links as (select u, v from pairs union select v, u from pairs),
+reach(u, v) as (select doc_id, doc_id from d where doc_id is not null union select reach.u, links.v from reach join links on reach.v = links.u),
+roots as (select u as doc_id, min(v) as root from reach group by u)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, root as component_id, coalesce(d.doc_id = root, true) as kept
+from d left join sizes using (r) left join roots on roots.doc_id = d.doc_id
+"""

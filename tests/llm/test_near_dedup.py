@@ -6,7 +6,7 @@ import pytest
 from lexiforge.llm import near_dedup as nd
 from lexiforge.llm.components import connected_components
 
-from .cases import SCHEMA, TEXTS, lower, rows, space_words
+from .cases import SCHEMA, TEXTS, lower, rows, same_rows, space_words
 
 
 def brute(texts, n, percent):
@@ -47,9 +47,10 @@ def corpus(seed, copies):
     return texts
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(3, 85, 1024), (5, 80, 8)])
-def test_equals_brute_force(spark, monkeypatch, n, percent, tile):
+@pytest.mark.parametrize(("n", "percent", "tile", "tile_bytes"), [(3, 85, 1024, 4000), (5, 80, 8, 1 << 20)])
+def test_equals_brute_force(spark, monkeypatch, n, percent, tile, tile_bytes):
     monkeypatch.setattr(nd, "TILE", tile)
+    monkeypatch.setattr(nd, "TILE_BYTES", tile_bytes)
     monkeypatch.setattr(nd, "SALT", 10)
     texts = corpus(n, 60)
     df = spark.createDataFrame(rows(texts), SCHEMA)
@@ -59,6 +60,16 @@ def test_equals_brute_force(spark, monkeypatch, n, percent, tile):
     assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == [r[0] for r in got if r[3]]
 
 
+def test_query_equals_its_sql(spark, tmp_path):
+    same_rows(spark, tmp_path, nd.op2_near_dedup, nd.ORACLE, documents=(rows(corpus(7, 20)) + [(None, TEXTS[4], None, None, None, None, None)], SCHEMA))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(k, "one two three four five six", "x", k) for k in range(3)], "doc_id long, text string, _gone string, h long")
+    kept = nd.drop_near_duplicates(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(0, "one two three four five six", "x", 0)]
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nd.near_duplicates(df).count() == 0
