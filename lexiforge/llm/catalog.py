@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import ORACLE as DECONTAMINATION_SQL
 from .decontamination import op4_decontamination
 from .language_model import op1_lm_scoring
 from .license_scan import op7_license_scan
+from .near_dedup import ORACLE as NEAR_SQL
 from .near_dedup import op2_near_dedup
 from .packing import op10_packing
 from .quality_classifier import op6_quality_classifier
@@ -29,6 +31,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_dedup": NEAR_SQL,
     "op3_quality_rules": QUALITY_SQL,
+    "op4_decontamination": DECONTAMINATION_SQL,
     "op8_substring_dedup": SUBSTRING_SQL,
 }
