@@ -1,13 +1,13 @@
 """The pipeline against brute force, stage by stage, and its queries' registration."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import __spark_entry__ as entry
 from lexiforge.llm.tokens import _load, default_path
 
-from .cases import SCHEMA, TEXTS, rows
+from .cases import LONG, SCHEMA, TEXTS, rows
 from .test_decontamination import brute as hits
 from .test_near_dedup import brute as groups
 from .test_quality_rules import brute as quality
@@ -67,6 +67,27 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
 
 
+def test_repeated_rows_and_rows_without_id(spark, tmp_path):
+    texts, items = corpus()
+    odd = [(None, t, "en", "src1", 0, "a", "b") for t in texts[-7:] + [None, "", LONG]]
+    spark.createDataFrame(rows(texts) + rows(texts) + odd, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items + [(None, "no id"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = Counter((r.doc_id, r.text) for r in docs.collect()) if name != "packing" else Counter(r.doc_id for r in docs.collect())
+    ids = lambda name: {i for i, _ in kept[name] if i is not None}
+    assert all(n % 2 == 0 for (i, _), n in kept["quality"].items() if i is not None)
+    copies = {len(TEXTS) + 1, len(TEXTS) + 2}
+    assert ids("near_dedup") == ids("quality") - copies
+    assert {x: n for x, n in kept["near_dedup"].items() if x[0] is None} == {x: n for x, n in kept["quality"].items() if x[0] is None}
+    leak = len(TEXTS) + 4
+    assert ids("decontamination") == ids("near_dedup") - {leak} and not any(t == texts[leak] for _, t in kept["decontamination"])
+    assert sum(kept["secrets"].values()) == sum(kept["decontamination"].values()) and not any("abcdefgh12345678" in t for _, t in kept["secrets"])
+    assert set(kept["packing"]) == ids("secrets") | {None}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -76,4 +97,4 @@ def test_empty_table(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert {"pipeline"} <= set(names) and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
-    assert set(entry.oracle_sql()) <= set(names)
+    assert set(entry.oracle_sql()) <= set(names) and all(map(callable, names.values())) and all(isinstance(x, str) for x in entry.oracle_sql().values())
