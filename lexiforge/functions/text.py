@@ -8,6 +8,7 @@ characters, and don't take U+001C to U+001F for white space.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,15 +16,21 @@ from pyspark.sql import functions as F
 #: The insides of classes: word characters (letters, all kinds of numbers, the underscore) and white space.
 #: The letter beyond U+FFFF makes Java look behind by code points instead of surrogates.
 WORD, SPACE = "\\p{L}\\p{N}_\U00010000", r"\s\x1C-\x1F"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 PLACEHOLDER = "__LT_[A-Z0-9_]+__"
 PLACEHOLDER_MARK = "__LT_"
 #: Signs of technical text. Fixed values.
 TECHNICAL = ("http", "`", "${", "{{", "--")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound, so that it is evaluated once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def strip(c: Column) -> Column:
-    """Without white space at the ends; `trim` strips blanks only."""
-    return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without white space at the ends; `trim` alone strips blanks only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -35,9 +42,8 @@ def _pieces(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """The sentences of a unit; a blank unit is one sentence as it is."""
-    pieces = _pieces(c)
-    return F.when(is_blank(c) | (F.size(pieces) == 0), F.array(c)).otherwise(pieces)
+    """The sentences of a unit; a blank unit, which has no pieces, is one sentence as it is."""
+    return let(_pieces(c), lambda pieces: F.when(F.size(pieces) == 0, F.array(c)).otherwise(pieces))
 
 
 def normalize_spacing(c: Column) -> Column:
@@ -112,17 +118,42 @@ def java_quote(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+#: Characters beyond A-Z that a letter equals when case is ignored. Fixed values.
+_FOLDED = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
+def _begin(term: str, ignore_case: bool) -> str | None:
+    """The inside of a class of the characters that a term can begin with, if it begins in ASCII."""
+    c = term[:1]
+    if not c.isascii():
+        return None
+    return re.escape(c) if not (ignore_case and c.isalpha()) else c.lower() + c.upper() + _FOLDED.get(c.lower(), "")
+
+
+def _looked_for(term: str, ignore_case: bool) -> str:
+    quoted = f"(?iu:{java_quote(term)})" if ignore_case else java_quote(term)
+    return rf"(?<![{WORD}]){quoted}(?![{WORD}])" if re.search(r"\w", term) else quoted
+
+
 def term_pattern(term: str, ignore_case: bool = True) -> str:
-    """A term as a Java pattern, between word boundaries if it has a word character."""
-    flags = "(?iu)" if ignore_case else ""
-    quoted = java_quote(term)
-    return flags + (rf"(?<![{WORD}]){quoted}(?![{WORD}])" if re.search(r"\w", term) else quoted)
+    """A term as a Java pattern, between word boundaries if it has a word character.
+
+    The first character is tested first, as it is far cheaper than a look behind.
+    """
+    return any_pattern([term], ignore_case)
+
+
+def any_pattern(terms: list[str], ignore_case: bool = True) -> str:
+    """Matches wherever one of the terms does."""
+    begins = [_begin(t, ignore_case) for t in terms]
+    return (f"(?=[{''.join(begins)}])" if all(begins) else "") + ("|".join(_looked_for(t, ignore_case) for t in terms) if len(terms) == 1 else f"(?:{'|'.join(_looked_for(t, ignore_case) for t in terms)})")
 
 
 def variant_pattern(placeholder: str) -> str:
     """A placeholder with its underscores lost or turned to other separators."""
     parts = [java_quote(p) for p in placeholder.strip("_").split("_") if p]
-    return rf"(?iu)(?<![{WORD}])_*" + r"[^\p{L}\p{N}]*".join(parts) + rf"_*(?![{WORD}])"
+    first = _begin(placeholder.strip("_"), True)
+    return rf"(?=[_{first}])(?<![{WORD}])(?iu:_*" + r"[^\p{L}\p{N}]*".join(parts) + rf"_*)(?![{WORD}])"
 
 
 def java_pattern(pattern: str) -> str:

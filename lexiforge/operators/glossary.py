@@ -36,18 +36,15 @@ def mark(df: DataFrame, entries: Entries, label: str, column: str, into: str) ->
     return df.withColumn("_state", state).withColumns({into: F.col("_state.text"), f"{into}_map": F.col("_state.marks"), f"{into}_n": F.col("_state.n")}).drop("_state")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value bound, so that it is evaluated once."""
-    return F.transform(F.array(value), lambda x: body(x))[0]
-
-
 def _marked(text: Column, entries: Entries, label: str) -> Column:
     """text, marks and n after all terms."""
     targets = dict(entries)
-    state = F.struct(text.alias("text"), F.array().cast(MARKS).alias("marks"), F.lit(0).alias("n"))
+    none = F.struct(text.alias("text"), F.array().cast(MARKS).alias("marks"), F.lit(0).alias("n"))
+    state = none
     for k, term in enumerate(plain.by_length(targets)):
-        state = let(state, _step(tx.term_pattern(term), label % k, targets[term]))
-    return F.when(text.isNotNull(), state)
+        state = tx.let(state, _step(tx.term_pattern(term), label % k, targets[term]))
+    # Most texts hold no term: one alternation tells, before the fold.
+    return F.when(F.rlike(text, F.lit(tx.any_pattern(list(targets)))), state).when(text.isNotNull(), none)
 
 
 def _step(pattern: str, name: str, target: str) -> Callable[[Column], Column]:
@@ -56,7 +53,7 @@ def _step(pattern: str, name: str, target: str) -> Callable[[Column], Column]:
         hit = F.struct(F.regexp_replace(s["text"], pattern, tx.java_replacement(name)).alias("text"), F.concat(s["marks"], F.array(pair)).alias("marks"), (s["n"] + F.size(found)).alias("n"))
         return F.when(F.size(found) > 0, hit).otherwise(F.struct(s["text"].alias("text"), s["marks"].alias("marks"), s["n"].alias("n")))
 
-    return lambda s: let(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), lambda found: one(s, found))
+    return lambda s: tx.let(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), lambda found: one(s, found))
 
 
 def _times(c: Column, needle: str) -> Column:
@@ -89,7 +86,7 @@ def apply(df: DataFrame, entries: Entries, column: str = "text", into: str = "ap
     if len(entries) > NATIVE_TERMS:
         marked = mark(df, entries, plain.REPLACED, column, "_applied")
         return marked.withColumns({into: swap(F.col("_applied"), F.col("_applied_map")), f"{into}_n": F.col("_applied_n")}).drop("_applied", "_applied_map", "_applied_n")
-    done = let(_marked(F.col(column), entries, plain.REPLACED), lambda s: F.struct(swap(s["text"], s["marks"]).alias("text"), s["n"].alias("n")))
+    done = tx.let(_marked(F.col(column), entries, plain.REPLACED), lambda s: F.struct(swap(s["text"], s["marks"]).alias("text"), s["n"].alias("n")))
     return df.withColumn("_done", done).withColumns({into: F.col("_done.text"), f"{into}_n": F.col("_done.n")}).drop("_done")
 
 
@@ -105,9 +102,10 @@ def restore(df: DataFrame, entries: Entries, column: str, marks: str, into: str
     """
     if len(entries) > NATIVE_TERMS:
         return _restore_by_arrow(df, column, marks, into)
-    state = F.struct(F.col(column).alias("text"), F.lit(0).alias("n"))
+    state = none = F.struct(F.col(column).alias("text"), F.lit(0).alias("n"))
     for k in range(len(entries)):
-        state = let(state, _back(plain.TERM % k, F.col(marks)))
+        state = tx.let(state, _back(plain.TERM % k, F.col(marks)))
+    state = F.when(F.size(marks) > 0, state).otherwise(none)
     return df.withColumn("_back", state).withColumns({into: F.col("_back.text"), f"{into}_n": F.col("_back.n")}).drop("_back")
 
 
@@ -129,10 +127,10 @@ def _back(name: str, marks: Column) -> Callable[[Column], Column]:
     def one(s: Column, literal: Column) -> Column:
         exact = F.replace(s["text"], F.lit(name), literal)
         guarded = F.regexp_replace(literal, r"([\\$])", r"\\$1")
-        hit = F.struct(F.regexp_replace(exact, F.lit(pattern), guarded).alias("text"), (s["n"] + _times(s["text"], name) + F.regexp_count(exact, F.lit(pattern))).alias("n"))
-        return F.when(literal.isNull(), F.struct(s["text"].alias("text"), s["n"].alias("n"))).otherwise(hit)
+        changed = tx.let(F.struct(exact.alias("t"), F.regexp_count(exact, F.lit(pattern)).alias("n")), lambda e: F.struct(F.when(e["n"] > 0, F.regexp_replace(e["t"], F.lit(pattern), guarded)).otherwise(e["t"]).alias("text"), (s["n"] + _times(s["text"], name) + e["n"]).alias("n")))
+        return F.when(literal.isNull(), F.struct(s["text"].alias("text"), s["n"].alias("n"))).otherwise(changed)
 
-    return lambda s: let(literal, lambda x: one(s, x))
+    return lambda s: tx.let(literal, lambda x: one(s, x))
 
 
 def _restore_by_arrow(df: DataFrame, column: str, marks: str, into: str) -> DataFrame:

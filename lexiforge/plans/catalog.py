@@ -18,7 +18,7 @@ from ..functions import text as tx
 from ..operators import chunks, engines, glossary, postedit, routing, segments, tokens
 from ..sources import sinks
 from . import reports
-from .translate import translated
+from .translate import translated, translated_text
 
 #: Common words of the test languages: the casing and boundary rules all apply.
 TERMS: plain.Entries = (("the", "le"), ("with", "avec"), ("les", "the ones"), ("que", "that"), ("und", "und so"), ("for the", "pour le"))
@@ -432,7 +432,7 @@ def reinject_placeholders(spark, sf_dir):
 @query(_with(SEG) + f"select doc_id, string_agg({_spaced_sql(chr(40) + 'text || ' + chr(39) + ' [en]' + chr(39) + chr(41))}, ' ' order by seg_idx) as text from seg group by doc_id")
 def translate_tagged(spark, sf_dir):
     """Blank units stay as they are; there are none with text in these tables."""
-    return translated(doc_units(spark, sf_dir), RunConfig(), engines.tag()).select("doc_id", "text")
+    return translated_text(doc_units(spark, sf_dir), RunConfig(), engines.tag()).select("doc_id", "text")
 
 
 _FIRST = f"first as (select doc_id, seg_idx, {_swapped_sql('t', plain.TERM)} || ' [en]' as t, {_count_sql(plain.TERM)} as n from {LAST})"

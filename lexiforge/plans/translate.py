@@ -9,7 +9,7 @@ from ..config import EngineMode, RunConfig
 from ..operators import engines, glossary
 from ..operators.postedit import post_edit_units, reported
 from ..operators.routing import route
-from ..operators.segments import KEYS, segment
+from ..operators.segments import KEYS, rejoin, segment
 from ..operators.stored import stored
 from .reports import unit_report
 
@@ -52,6 +52,13 @@ def translated(units: DataFrame, config: RunConfig, engine=None, edit=None) -> D
     return unit_report(rows.withColumns({"text": F.array_join(F.transform("rows", lambda x: x["text"]), " "), "segments": segments}))
 
 
+def translated_text(units: DataFrame, config: RunConfig, engine=None, edit=None) -> DataFrame:
+    """(doc_id, unit_idx, text) alone, without the work that only reports need; a lazy plan."""
+    if config.engine != EngineMode.ARGOS:
+        return translated(units, config, engine, edit).select(*KEYS, "text")
+    return rejoin(glossary.finish(prepare(units, config, engine), config.glossary, "draft", "marks", "text"))
+
+
 def translate_units(units: DataFrame, config: RunConfig, engine=None, edit=None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, unit_idx, text) of every unit, and a report of every unit.
 
@@ -61,4 +68,5 @@ def translate_units(units: DataFrame, config: RunConfig, engine=None, edit=None)
     done = translated(units, config, engine, edit)
     if edit is not None or not (engine is None or isinstance(engine, engines.NativeEngine)):
         done = stored(done, "translated")
-    return done.select(*KEYS, "text"), done.drop("text", "segments")
+        return done.select(*KEYS, "text"), done.drop("text", "segments")
+    return translated_text(units, config, engine), done.drop("text", "segments")

@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import RunConfig
 from ..operators.routing import route
-from ..operators.segments import KEYS, segment, units_of
-from ..plans.translate import translated
+from ..operators.segments import segment, units_of
+from ..plans.translate import translated_text
 
 
 def routed_stream(documents: DataFrame, config: RunConfig) -> DataFrame:
@@ -26,8 +26,7 @@ def translate_stream(documents: DataFrame, config: RunConfig, output: str, check
     """Write (doc_id, unit_idx, text) of each micro-batch as Parquet, once per batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        done = translated(units_of(batch.select("doc_id", "text")), config, engine, edit)
-        done.select(*KEYS, "text").write.mode("overwrite").parquet(f"{output}/batch={number}")
+        translated_text(units_of(batch.select("doc_id", "text")), config, engine, edit).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
