@@ -591,3 +591,6 @@ def page_normalize(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing_reason_histogram(spark, sf_dir)
+
+
+from . import catalog_files, catalog_plans  # noqa: E402, F401 - they register their queries

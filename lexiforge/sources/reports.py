@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.reports import SCHEMA, rounded
 
 
-def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.schema(SCHEMA).option("multiLine", True).json(paths)
+def read_reports(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Reports of files that hold one each, or one a line."""
+    return spark.read.schema(SCHEMA).option("multiLine", not lines).json(paths)
 
 
 def write_report(report: dict, path: str | Path) -> None:
