@@ -10,9 +10,8 @@ are repeats. Of these, runs of neighbouring units with `least_words` words or mo
 together are removed, with their offsets in code points of the original text: a
 lone sentence that two documents happen to share is none of these.
 
-A digest that holds many of the repeats would make one large group. The digests
-that hold a ten-thousandth of all repeats or more, so ten thousand at most, are
-broadcast with their first occurrences; their units need no partner in the join.
+A digest may hold a large share of all repeats, so units meet their first
+occurrence by `join_singles`, which gathers no digest's units in one task.
 
 Defined results: null and empty texts have no units; a very long text is scanned
 alone, as a block; of equal ranks (ties: repeated rows, or texts of one id that
@@ -31,14 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import documents, free_name, written
+from .shared import documents, free_name, join_singles, written
 
 #: Words of neighbouring repeats that go. A shared passage of 50 words has about as many between the sentences that its ends cut.
 LEAST_WORDS = 20
 #: Words that a digest covers at least.
 CONTEXT = 8
-#: Digests of a larger share of all repeats are broadcast, one over the share at most.
-HOT_SHARE = 1e-4
 
 UNIT = "h1 long, h2 long, doc_id long, text_hash long, unit int, start long, end long, n_words long"
 UNIT_NAMES = [c.split()[0] for c in UNIT.split(", ")]
@@ -100,14 +97,9 @@ def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS, context: int
     place = F.struct("doc_id", "start")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first != last")
     firsts = written(firsts.select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n"), "firsts")
-    many = (firsts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
-    hot = firsts.where(F.col("n") >= many).select("h1", "h2", F.struct("first_doc_id", "first_start").alias("known"))
-    cold = firsts.where(F.col("n") < many).select(F.col("h1").alias("key"), "h2", F.lit(False).alias("is_hot"), F.struct("first_doc_id", "first_start").alias("met"))
-    found = found.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("is_hot", F.col("known").isNotNull())
-    found = found.withColumn("key", F.when(F.col("is_hot"), F.xxhash64("doc_id", "start")).otherwise(F.col("h1")))
-    again = found.join(cold, ["key", "h2", "is_hot"], "left").withColumn("first", F.coalesce("known", "met")).where("first is not null and (doc_id != first.first_doc_id or start != first.first_start)")
+    again = join_singles(found, firsts, ["h1", "h2"], ["doc_id", "start"], whole=False).where("doc_id != first_doc_id or start != first_start")
     # One row per text holds all its repeats, so repeated rows meet before the exchange.
-    texts = again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("unit", "start", "end", "n_words", "first.first_doc_id", "first.first_start")).alias("u"))
+    texts = again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("unit", "start", "end", "n_words", "first_doc_id", "first_start")).alias("u"))
     rows = texts.select("doc_id", "text_hash", F.explode("u").alias("u")).select("doc_id", "text_hash", "u.*")
     rows = rows.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("unit")))
     rows = rows.withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "run")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import documents, table_path
+from .shared import documents, plan_bytes, table_path
 from .tokens import default_path, encoder, with_end
 
 #: Values in a word and their width, by selector.
@@ -145,7 +145,7 @@ RECORD = "shard int, first long, doc_ids array<long>, lengths array<long>, paylo
 
 def input_bytes(docs: DataFrame, text_col: str) -> int:
     """The optimizer's estimate, or where it has none, the bytes of all texts."""
-    size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(docs.select(text_col))
     return size if size < 1 << 60 else docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from lexiforge.llm import shared
 from lexiforge.llm import substring_dedup as sd
 
 from .cases import SCHEMA, TEXTS, lower, rows, same_rows
@@ -42,8 +43,9 @@ def texts():
 def test_equals_brute_force(spark, monkeypatch):
     table = list(enumerate(texts()))
     df = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in table + table[20:40]] + [(None, TEXTS[6], None, None, None, None, None)], SCHEMA)
-    for hot in (1e-4, 0.05, 2.0):
-        monkeypatch.setattr(sd, "HOT_SHARE", hot)
+    for small, hot in ((1 << 20, 1e-4), (0, 1e-4), (0, 0.05), (0, 2.0)):
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", small)
+        monkeypatch.setattr(shared, "HOT_SHARE", hot)
         got = Counter(map(tuple, sd.repeated_units(df).collect()))
         assert got == brute(table) and len(got) > 50
     assert Counter(map(tuple, sd.repeated_units(df, 8, 3).collect())) == brute(table, 8, 3)
