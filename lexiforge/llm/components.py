@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released, scratch, written
+from .shared import join_singles, released, scratch, written
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """One star operation on edges (u, v).
 
-    The least neighbour of each u is a table of its own, so the join that brings
-    it to all edges of u has two plain exchanges, and Spark splits a hub.
+    The least neighbour of each u is a table of its own; the join that brings it to
+    all edges of u gathers no hub's edges in one task.
     """
     if larger:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "star")
-    joined = both.join(least, "u")
+    least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "star")
+    joined = join_singles(both, least, ["u"], ["v"])
     if larger:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

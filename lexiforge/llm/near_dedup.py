@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .components import connected_components
-from .shared import documents, free_name, released, scratch, written
+from .shared import documents, free_name, join_singles, released, scratch, written
 
 SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, HASHES = 24, 4, 192
@@ -194,15 +194,15 @@ def _unsettled(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
         labelled = buckets.withColumn("comp", F.col("doc"))
     else:
         labelled = written(buckets.join(roots.withColumnRenamed("u", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("comp")), "labelled")
-    some = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    return written(labelled.join(written(some, "unsettled"), "key"), "buckets")
+    some = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
+    return written(join_singles(labelled, written(some, "unsettled"), ["key"], ["doc"]), "buckets")
 
 
 def _led(rows: DataFrame, turn: int) -> DataFrame:
     """Candidates: each class of a bucket with the bucket's leader of this turn."""
     order = F.col("doc") if turn == 0 else F.xxhash64(F.col("doc"), F.lit(turn))
-    leaders = written(rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc", "comp")).alias("l")).select("key", F.col("l.doc").alias("leader"), F.col("l.comp").alias("led")), "leaders")
-    return rows.join(leaders, "key").where("comp != led").select("doc", "leader").distinct()
+    leaders = written(rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc", "comp")).alias("l"), F.count("*").alias("n")).select("key", "n", F.col("l.doc").alias("leader"), F.col("l.comp").alias("led")), "leaders")
+    return join_singles(rows, leaders, ["key"], ["doc"]).where("comp != led").select("doc", "leader").distinct()
 
 
 def _tiled(rows: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -214,8 +214,8 @@ def _tiled(rows: DataFrame, signed: DataFrame, docs: DataFrame, shingle: int, pe
     """
     weight = F.greatest(F.lit(1 / TILE), 8 * F.col("n_shingles") / TILE_BYTES)
     sizes = rows.join(signed.select("doc", weight.alias("w")), "doc").groupBy("key", "comp").agg(F.sum("w").alias("m"), F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "m")).alias("x"), F.sum("m").alias("n")).select("key", F.col("x.comp").alias("main"), F.ceil("n").cast("int").alias("homes"), F.ceil(F.greatest(F.lit(1 / TILE), F.col("n") - F.col("x.m"))).cast("int").alias("guests"))
-    rows = rows.join(written(main, "mains"), "key").join(signed.select("doc", "signature", "bands"), "doc")
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp", "m")).alias("x"), F.sum("m").alias("all"), F.sum("c").alias("n")).select("key", "n", F.col("x.comp").alias("main"), F.ceil("all").cast("int").alias("homes"), F.ceil(F.greatest(F.lit(1 / TILE), F.col("all") - F.col("x.m"))).cast("int").alias("guests"))
+    rows = join_singles(rows, written(main, "mains"), ["key"], ["doc"]).join(signed.select("doc", "signature", "bands"), "doc")
     hashed = lambda n, seed: F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), n).cast("int")
     home = rows.select("key", hashed(F.col("homes"), 1).alias("x"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("y"), F.lit(True).alias("home"), "doc", "comp", "signature", "bands")
     guest = rows.where("comp != main").select("key", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("x"), hashed(F.col("guests"), 2).alias("y"), F.lit(False).alias("home"), "doc", "comp", "signature", "bands")
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = written(sign(docs, shingle, id_col, text_col), "signed", keep=True)
     some = signed.where("digest is not null and doc_id is not null")
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes", keep=True)
+    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")), "classes", keep=True)
     reps = written(some.join(classes, [some.digest == classes.digest, some.doc_id == classes["class"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "signature"), "reps", keep=True)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     links = roots = None
@@ -288,7 +288,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                 if rows.isEmpty():
                     break
     released(reps)
-    out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(roots.withColumnRenamed("u", "class"), "class", "left")
+    rooted = written(classes.join(roots.withColumnRenamed("u", "class"), "class", "left"), "rooted", keep=True)
+    released(classes)
+    out = join_singles(signed.select("doc_id", "n_shingles", "digest"), rooted, ["digest"], ["doc_id"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

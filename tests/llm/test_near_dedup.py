@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lexiforge.llm import near_dedup as nd
+from lexiforge.llm import shared
 from lexiforge.llm.components import connected_components
 
 from .cases import SCHEMA, TEXTS, lower, rows, same_rows, space_words
@@ -47,8 +48,10 @@ def corpus(seed, copies):
     return texts
 
 
-@pytest.mark.parametrize(("n", "percent", "tile", "tile_bytes"), [(3, 85, 1024, 4000), (5, 80, 8, 1 << 20)])
-def test_equals_brute_force(spark, monkeypatch, n, percent, tile, tile_bytes):
+@pytest.mark.parametrize(("n", "percent", "tile", "tile_bytes", "small"), [(3, 85, 1024, 4000, 0), (5, 80, 8, 1 << 20, 1 << 20)])
+def test_equals_brute_force(spark, monkeypatch, n, percent, tile, tile_bytes, small):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", small)
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.02)
     monkeypatch.setattr(nd, "TILE", tile)
     monkeypatch.setattr(nd, "TILE_BYTES", tile_bytes)
     monkeypatch.setattr(nd, "SALT", 10)
