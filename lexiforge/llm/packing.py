@@ -44,6 +44,8 @@ COSTS = (16.0, 64.0, 256.0)
 WORD_STEP = 16
 #: Tokens that are optimised together.
 STRETCH = 1 << 18
+#: Bytes of texts that are encoded together.
+ENCODED_BYTES = 1 << 21
 
 
 def best_cuts(place: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
@@ -173,7 +175,7 @@ def pack(
         packer = Packer(token_kinds(vocabulary), TaskContext.get().partitionId() << 40, size, costs)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for i, j, data, offsets in ts.blocks(batch.column(1)):
+            for i, j, data, offsets in ts.blocks(batch.column(1), ENCODED_BYTES):
                 ids, bounds = with_end(*enc.encode(data, offsets), end_id)
                 for name, a, b in zip(names[i:j], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     yield from packer.add(name, ids[a:b])
