@@ -50,8 +50,12 @@ LEAST_COUNT = 8
 #: Frequent words whose counts are broadcast: 16 bytes each.
 BROADCAST_WORDS = 1 << 18
 ROUNDS, FRACTION = 2, 1.0
-#: Lanes at first and at most: they double after every so many windows, which makes tokens cheaper.
-LANES, MOST_LANES, WINDOWS, WINDOW, RATE = 64, 512, 64, 16, 0.05
+#: Lanes at first and at most: they double after every so many windows, which makes tokens a little cheaper, and steps fewer.
+LANES, MOST_LANES, WINDOWS, WINDOW, RATE = 64, 256, 64, 16, 0.05
+#: Largest norm of a step's gradient over the weights that all words share.
+CLIP = 0.2
+#: States whose outputs are made at once, so that they stay in a core's cache.
+CHUNK = 2048
 #: Tokens of documents that wait for a lane.
 WAITING = 1 << 18
 #: Fingerprint of the end of a text, which no word has but by chance.
@@ -152,6 +156,26 @@ def build_vocabulary(counts: DataFrame, size: int = VOCABULARY, frequent: int =
     return Vocabulary(keys[order], numbers[order], place[order], size, unigram, total, distinct, int(unigram[0]), distinct - inside)
 
 
+def _softmax(p: np.ndarray) -> np.ndarray:
+    """Probabilities of each row, in place."""
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p
+
+
+def _log_softmax(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of one column of each row; `p` is used up."""
+    p -= p.max(1, keepdims=True)
+    said = p[np.arange(len(at)), at]
+    np.exp(p, out=p)
+    return said - np.log(p.sum(1))
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+
+
 class GRU:
     """Weights, forward pass and truncated backpropagation."""
 
@@ -212,11 +236,11 @@ class GRU:
         return np.where(places < self.head, places // CLASS_SIZE, self.plain + (places - self.head) // SUPER)
 
     def leaves(self, states: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the words of each state's leaf, and the words' rows."""
-        rows = self.tail_out.reshape(-1, LEAF, self.hidden + 1)[leaf].astype(states.dtype)
-        p = self.counted[leaf] + np.matmul(rows[:, :, :-1], states[:, :, None])[:, :, 0] + rows[:, :, -1]
-        p = np.exp(p - p.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True), rows
+        """Probabilities of the words of each state's leaf, and the words' rows; states end in a 1."""
+        rows = self.tail_out.reshape(-1, LEAF, self.hidden + 1)[leaf].astype(states.dtype, copy=False)
+        p = np.matmul(rows, states[:, :, None])[:, :, 0]
+        p += self.counted[leaf]
+        return _softmax(p), rows
 
     def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """z (how much is kept), r, the candidate and its recurrent part."""
@@ -242,23 +266,26 @@ class GRU:
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of P(target | state), by class and word."""
-        logits = states @ self.class_w + self.class_b
-        top = logits.max(1)
-        kind = self.kinds(target)
-        out = logits[np.arange(len(target)), kind] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        kind, out = self.kinds(target), np.empty(len(target), states.dtype)
+        for a in range(0, len(target), CHUNK):
+            logits = states[a : a + CHUNK] @ self.class_w
+            logits += self.class_b
+            out[a : a + CHUNK] = _log_softmax(logits, kind[a : a + CHUNK])
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
-            at, j = order[bounds[k] : bounds[k + 1]], k - self.plain
-            w, b, y = (self.word_w[k], self.word_b[k], target[at] % CLASS_SIZE) if j < 0 else (self.mid_w[j], self.mid_b[j], (target[at] - self.head) % SUPER // LEAF)
-            logits = states[at] @ w + b
-            top = logits.max(1)
-            out[at] += logits[np.arange(len(at)), y] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            j = k - self.plain
+            w, b = (self.word_w[k], self.word_b[k]) if j < 0 else (self.mid_w[j], self.mid_b[j])
+            for a in range(bounds[k], bounds[k + 1], CHUNK):
+                at = order[a : min(a + CHUNK, bounds[k + 1])]
+                logits = states[at] @ w
+                logits += b
+                out[at] += _log_softmax(logits, target[at] % CLASS_SIZE if j < 0 else (target[at] - self.head) % SUPER // LEAF)
         rest = order[bounds[self.plain] :]
-        for a in range(0, len(rest), 4096):
-            at = rest[a : a + 4096]
+        for a in range(0, len(rest), CHUNK // 4):
+            at = rest[a : a + CHUNK // 4]
             place = target[at] - self.head
-            out[at] += np.log(self.leaves(states[at], place // LEAF)[0][np.arange(len(at)), place % LEAF])
+            out[at] += np.log(self.leaves(_with_one(states[at]), place // LEAF)[0][np.arange(len(at)), place % LEAF])
         return out
 
     def score(self, places: np.ndarray, bounds: np.ndarray, window: int = 32, step_rows: int = 1 << 15) -> np.ndarray:
@@ -326,13 +353,18 @@ class GRU:
         g: dict = {"u": np.zeros_like(self.u)}
         s, y = states[ok], flat[ok]
         kind = self.kinds(y)
-        p = s @ self.class_w + self.class_b
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), kind] -= 1
-        p *= scale
-        g["class_w"], g["class_b"] = s.T @ p, p.sum(0)
-        d = p @ self.class_w.T
+        d = np.empty_like(s)
+        g["class_w"], g["class_b"] = np.zeros_like(self.class_w), np.zeros_like(self.class_b)
+        for a in range(0, len(y), CHUNK):
+            mine, said = s[a : a + CHUNK], kind[a : a + CHUNK]
+            p = mine @ self.class_w
+            p += self.class_b
+            _softmax(p)
+            p[np.arange(len(said)), said] -= 1
+            p *= scale
+            g["class_w"] += mine.T @ p
+            g["class_b"] += p.sum(0)
+            d[a : a + CHUNK] = p @ self.class_w.T
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
         levels = [("word", 0, self.plain, y % CLASS_SIZE)]
@@ -344,25 +376,32 @@ class GRU:
             g_w, g_b = np.zeros((len(met), *w.shape[1:]), s.dtype), np.zeros((len(met), b.shape[1]), s.dtype)
             for row, q in enumerate(met.tolist()):
                 at = order[bounds[low + q] : bounds[low + q + 1]]
-                p = s[at] @ w[q] + b[q]
-                p = np.exp(p - p.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
+                mine = s[at]
+                p = mine @ w[q]
+                p += b[q]
+                _softmax(p)
                 p[np.arange(len(at)), said[at]] -= 1
                 p *= scale
-                g_w[row], g_b[row] = s[at].T @ p, p.sum(0)
+                g_w[row], g_b[row] = mine.T @ p, p.sum(0)
                 d[at] += p @ w[q].T
             g[name + "_w"], g[name + "_b"] = (met, g_w), (met, g_b)
         if len(levels) > 1:
             at = order[bounds[self.plain] :]
             at = at[np.argsort(y[at], kind="stable")]
             place = y[at] - self.head
-            p, rows = self.leaves(s[at], place // LEAF)
-            p[np.arange(len(at)), place % LEAF] -= 1
-            p *= scale
-            d[at] += np.matmul(p[:, None], rows[:, :, :-1])[:, 0]
             met, first = np.unique(place // LEAF, return_index=True)
-            each = p[:, :, None] * np.concatenate([s[at], np.ones((len(at), 1), s.dtype)], 1)[:, None]
-            summed = np.add.reduceat(each, first) if len(met) else each
+            summed = np.zeros((len(met), LEAF, k + 1), s.dtype)
+            ends = np.append(first, len(at))
+            i = 0
+            while i < len(met):  # whole leaves, some thousand states at once
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK // 4, "right")) - 1)
+                some, states_1 = slice(ends[i], ends[j]), _with_one(s[at[ends[i] : ends[j]]])
+                p, rows = self.leaves(states_1, place[some] // LEAF)
+                p[np.arange(len(p)), place[some] % LEAF] -= 1
+                p *= scale
+                d[at[some]] += np.matmul(p[:, None], rows)[:, 0, :-1]
+                summed[i:j] = np.add.reduceat(p[:, :, None] * states_1[:, None], first[i:j] - ends[i])
+                i = j
             g["tail_out"] = (met[:, None] * LEAF + np.arange(LEAF)).ravel(), summed.reshape(-1, k + 1)
         d_states[ok] = d
         d_states = d_states.reshape(lanes, steps, k)
@@ -402,15 +441,35 @@ class Adagrad:
         self.past = [np.full_like(x[:, :1] if n[:4] == "tail" else x, 1e-6) for n, x in zip(getattr(model, "NAMES", ()), model.weights(), strict=True)]
 
     def step(self, gradients: list) -> None:
+        """Change the weights; the gradients are used up.
+
+        Those of the weights that all words share are clipped together.
+        """
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in gradients if not isinstance(g, tuple)))
+        if norm > CLIP:
+            gradients = [g if isinstance(g, tuple) else g * np.float32(CLIP / norm) for g in gradients]
         for x, g, v in zip(self.model.weights(), gradients, self.past, strict=True):
+            rows = None
             if isinstance(g, tuple):
                 rows, g = g
-                mine = v[rows] + (g * g if v.shape == x.shape else (g * g).mean(1, keepdims=True))
-                v[rows] = mine
-                x[rows] -= self.rate * g / np.sqrt(mine)
+                if len(rows) == len(x):
+                    rows = None
+            squares = g * g
+            if v.shape != x.shape:
+                squares = squares.mean(1, keepdims=True)
+            if rows is None:
+                v += squares
+                np.sqrt(v, out=squares)
+            else:
+                squares += v[rows]
+                v[rows] = squares
+                np.sqrt(squares, out=squares)
+            g /= squares
+            g *= self.rate
+            if rows is None:
+                x -= g
             else:
-                v += g * g
-                x -= self.rate * g / np.sqrt(v)
+                x[rows] -= g
 
 
 def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> int:
