@@ -45,7 +45,7 @@ WORD_STEP = 16
 #: Tokens that are optimised together.
 STRETCH = 1 << 18
 #: Bytes of texts that are encoded together.
-ENCODED_BYTES = 1 << 21
+ENCODED_BYTES = 1 << 20
 
 
 def best_cuts(place: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
@@ -99,9 +99,7 @@ def cut_places(ids: np.ndarray, doc_ends: np.ndarray, kind: np.ndarray, size: in
 @lru_cache(maxsize=2)
 def token_kinds(vocabulary: str) -> np.ndarray:
     """1: ids that end a sentence (a full stop, ! or ? at their end, or a newline); 2: ids that begin a word."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer = encoder(vocabulary).whole
     out = np.zeros(tokenizer.get_vocab_size() + 2, np.uint8)
     for token, i in tokenizer.get_vocab().items():  # byte-level signs: Ċ is a newline, Ġ a blank
         out[i] = (token.endswith((".", "!", "?")) or "Ċ" in token) + 2 * token.startswith(("Ġ", "Ċ"))
