@@ -530,28 +530,29 @@ _PART, _ROWS = 1 << 14, 256
 
 
 def _changes(width: int) -> np.dtype:
-    """A changed row of words beyond HEAD: its place in the part, tokens seen, and the change in 8 bits."""
-    return np.dtype([("i", "u1"), ("n", "f4"), ("scale", "f4"), ("d", "i1", (width,))])
+    """A changed row of words beyond HEAD: its place in the part, and the change in 8 bits."""
+    return np.dtype([("i", "u1"), ("scale", "f4"), ("d", "i1", (width,))])
 
 
-def _packed(rows: np.ndarray, n: np.ndarray, change: np.ndarray) -> bytes:
+def _packed(rows: np.ndarray, change: np.ndarray) -> bytes:
     out = np.zeros(len(rows), _changes(change.shape[1]))
     scale = np.abs(change).max(1, initial=0) / 127
-    out["i"], out["n"], out["scale"] = rows, n, scale
+    out["i"], out["scale"] = rows, scale
     out["d"] = np.rint(change / np.maximum(scale, 1e-30)[:, None])
     return out.tobytes()
 
 
-def _unpacked(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(packed, _changes(width))
-    return x["i"], x["n"], x["d"] * x["scale"][:, None]
+    return x["i"], x["d"] * x["scale"][:, None]
 
 
 def _averaged(found: DataFrame, model: GRU) -> int:
     """Load weights averaged by tokens seen, and return the tokens.
 
     Parts of the shared weights are averaged by part and lane first, then by part.
-    Negative parts are changed rows, each averaged over those who changed it.
+    Negative parts are changed rows, each averaged over those who changed it; they
+    have one lane, so the second step leaves them as they are.
     """
     width = 2 * model.hidden + 1
 
@@ -559,12 +560,12 @@ def _averaged(found: DataFrame, model: GRU) -> int:
         n = np.array(table.column("n"), dtype=np.float64)
         if table.column("part")[0].as_py() < 0:
             total, change = np.zeros(_ROWS), np.zeros((_ROWS, width), np.float32)
-            for b in table.column("w").to_pylist():
-                i, weight, d = _unpacked(b, width)
+            for b, weight in zip(table.column("w").to_pylist(), n.tolist(), strict=True):
+                i, d = _unpacked(b, width)
                 total[i] += weight
-                change[i] += d * weight[:, None]
+                change[i] += d * np.float32(weight)
             some = np.flatnonzero(total)
-            w = _packed(some, total[some], change[some] / total[some, None].astype(np.float32))
+            w = _packed(some, change[some] / total[some, None].astype(np.float32))
         else:
             rows = np.stack([np.frombuffer(b, np.float32) for b in table.column("w").to_pylist()])
             w = (rows * (n / n.sum())[:, None]).sum(0).astype(np.float32).tobytes()
@@ -580,7 +581,7 @@ def _averaged(found: DataFrame, model: GRU) -> int:
             flat[r.part * _PART : r.part * _PART + len(r.w) // 4] = np.frombuffer(r.w, np.float32)
             seen = r.n
         else:
-            i, _, d = _unpacked(r.w, width)
+            i, d = _unpacked(r.w, width)
             at = (-1 - r.part) * _ROWS + i.astype(np.int64)
             model.tail_in[at] += d[:, : model.hidden]
             model.tail_out[at] += d[:, model.hidden :]
@@ -622,7 +623,7 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
                     if before is not None:
                         change -= np.concatenate([before.tail_in[a : a + _ROWS], before.tail_out[a : a + _ROWS]], 1)
                     if len(some := np.flatnonzero(change.any(1))):
-                        found.append((-1 - a // _ROWS, 0, _packed(some, np.full(len(some), seen), change[some])))
+                        found.append((-1 - a // _ROWS, 0, _packed(some, change[some])))
                 for a in range(0, len(found), 64):
                     part, lanes, w = zip(*found[a : a + 64], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lanes, pa.int32()), pa.array([seen] * len(part), pa.int64()), pa.array(w, pa.binary())], names=["part", "lane", "n", "w"])
