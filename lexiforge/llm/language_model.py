@@ -10,7 +10,7 @@ truncated backpropagation over windows; the state goes on from window to window,
 in training and in scoring, so that the score is that of the complete document.
 
 Counts are of all training documents. The weights are learnt in rounds: in each,
-every partition trains a copy on its own part of that round's training documents,
+every partition, small ones together, trains a copy on its part of that round's training documents,
 dealt to rounds by hash, and the copies are averaged by the tokens they saw. All
 rounds together learn from every training document once (`fraction` may lower it).
 
@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import documents, written
+from .shared import documents, plan_bytes, written
 
 #: Words of the softmax, with the symbol for all others; words of a class; widths.
 VOCABULARY, CLASS_SIZE, HIDDEN = 1 << 18, 64, 32
-#: Words of plain classes; words of a larger class of the rest, and of a leaf in it.
-HEAD, SUPER, LEAF = 4096, 4096, 16
+#: Words of plain classes; words of a larger class of the rest, and of a leaf in it; a larger class has BRANCH branches of as many leaves.
+HEAD, SUPER, LEAF, BRANCH = 4096, 4096, 16, 16
 #: Words met less often have no output: held-out documents hold more of them than their counts say.
 LEAST_COUNT = 8
 #: Frequent words whose counts are broadcast: 16 bytes each.
@@ -56,13 +56,19 @@ LANES, MOST_LANES, WINDOWS, WINDOW, RATE = 64, 256, 64, 16, 0.05
 CLIP = 0.2
 #: States whose outputs are made at once, so that they stay in a core's cache.
 CHUNK = 2048
-#: Tokens of documents that wait for a lane.
-WAITING = 1 << 18
+#: Tokens of documents that wait for a lane, of which long ones go first.
+WAITING = 1 << 22
+#: Tokens that must be left for lanes to double and for long documents to go first: fewer are learnt from better in more steps.
+ENOUGH = 1 << 18
+#: States of the nodes that are made side by side, as many rows for each; nodes with more are made alone.
+SIDE = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Fingerprint of the end of a text, which no word has but by chance.
 END = np.uint64(0x1D8E4E27C47D124F)
 FLUSH = 1 << 20
-#: Bytes of texts that are scored side by side.
-SCORED_BYTES = 1 << 22
+#: Bytes of files from which a copy learns at least, where that leaves a copy for each core.
+COPY_BYTES = 32 << 20
+#: Bytes of texts that are scored side by side, and lanes of a step.
+SCORED_BYTES, SCORED_LANES = 1 << 23, 512
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 
 
@@ -79,6 +85,13 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, bounds
 
 
+def hashes_of_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many texts, of which some are scanned at once."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
+    found = [token_hashes(d, o) for _, _, d, o in ts.blocks(texts)]
+    return np.concatenate([h for h, _ in found]), np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in found)]))
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, c) of all tokens of the documents that aren't held out."""
 
@@ -156,32 +169,64 @@ def build_vocabulary(counts: DataFrame, size: int = VOCABULARY, frequent: int =
     return Vocabulary(keys[order], numbers[order], place[order], size, unigram, total, distinct, int(unigram[0]), distinct - inside)
 
 
-def _softmax(p: np.ndarray) -> np.ndarray:
-    """Probabilities of each row, in place."""
-    p -= p.max(1, keepdims=True)
+def _exps(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows of logits, in place, and their sums; a row's own maximum is taken off only where it must be.
+
+    Below 60 and above -60 neither exponentials nor sums leave what 32 bits hold.
+    """
+    if p.size and not (p.max() < 60 and p.min() > -60):
+        p -= p.max(1, keepdims=True)
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    return p
+    return p, p @ np.ones(p.shape[1], p.dtype)
 
 
 def _log_softmax(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of one column of each row; `p` is used up."""
-    p -= p.max(1, keepdims=True)
-    said = p[np.arange(len(at)), at]
-    np.exp(p, out=p)
-    return said - np.log(p.sum(1))
+    rows = np.arange(len(at))
+    if p.size and not (p.max() < 60 and p.min() > -60):
+        p -= p.max(1, keepdims=True)
+    said = p[rows, at]
+    return said - np.log(_exps(p)[1])
 
 
 def _with_one(states: np.ndarray) -> np.ndarray:
-    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+    """The states with a 1 after each, which weighs a bias, and a row of zeros after all."""
+    out = np.zeros((len(states) + 1, states.shape[1] + 1), states.dtype)
+    out[:-1, :-1], out[:-1, -1] = states, 1
+    return out
+
+
+def _side_by_side(node: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, indices of the states of each) of states that are sorted by node, about `rows` states at once.
+
+    A node of fewer states than the others beside it has len(node) for the rest.
+    """
+    if not len(node):
+        return
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    count = np.diff(np.append(first, len(node)))
+    rank = np.argsort(count, kind="stable")
+    first, count = first[rank], count[rank]
+    met = node[first]
+    i = 0
+    for size, end in zip(SIDE, np.searchsorted(count, SIDE, "right").tolist(), strict=True):
+        steps = np.arange(size)
+        while i < end:
+            j = min(end, i + max(1, rows // size))
+            at = first[i:j, None] + steps
+            at[steps >= count[i:j, None]] = len(node)
+            yield met[i:j], at
+            i = j
+    for k in range(i, len(met)):
+        yield met[k : k + 1], np.arange(first[k], first[k] + count[k])[None]
 
 
 class GRU:
     """Weights, forward pass and truncated backpropagation."""
 
-    DENSE = ("embed", "w", "u", "b", "class_w", "class_b", "word_w", "word_b")
-    #: Of the words beyond HEAD: leaves of a larger class, and a row of each word as input and as output.
-    TAIL = ("mid_w", "mid_b", "tail_in", "tail_out")
+    DENSE = ("embed", "w", "u", "b", "class_w", "class_b", "word_w")
+    #: Of the words beyond HEAD: branches of a larger class, leaves of a branch, and a row of each word as input and, in its leaf, as output.
+    TAIL = ("mid_w", "mid_leaf_w", "tail_in", "tail_out")
 
     def __init__(self, vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -192,17 +237,20 @@ class GRU:
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         smooth = vocabulary.unigram + 0.5
         smooth = smooth / smooth.sum()
-        words, rest = smooth[:head].reshape(-1, CLASS_SIZE), smooth[head:].reshape(-1, SUPER // LEAF, LEAF)
+        words, rest = smooth[:head].reshape(-1, CLASS_SIZE), smooth[head:].reshape(-1, BRANCH, BRANCH, LEAF)
         self.embed, self.w, self.u = small(head, h), small(h, 3 * h) * 3, small(h, 3 * h) * 2
         self.b = np.zeros(3 * h, np.float32)
         self.b[:h] = 1.0  # the update gate keeps the state at first
-        self.class_w, self.class_b = small(h, n), np.log(np.concatenate([words.sum(1), rest.sum((1, 2))])).astype(np.float32)
-        self.word_w, self.word_b = small(self.plain, h, CLASS_SIZE), np.log(words / words.sum(1, keepdims=True)).astype(np.float32)
+        self.class_w, self.class_b = small(h, n), np.log(np.concatenate([words.sum(1), rest.sum((1, 2, 3))])).astype(np.float32)
+        biased = lambda w, shares: np.concatenate([w, np.log(shares).astype(np.float32)[:, None]], 1)
+        self.word_w = biased(small(self.plain, h, CLASS_SIZE), words / words.sum(1, keepdims=True))
         self.NAMES = self.DENSE
         if tail:  # all zero at first: words by their counts
             self.NAMES = self.DENSE + self.TAIL
-            self.mid_w, self.mid_b = np.zeros((len(rest), h, SUPER // LEAF), np.float32), np.log(rest.sum(2) / rest.sum((1, 2))[:, None]).astype(np.float32)
-            self.tail_in, self.tail_out = np.zeros((tail, h), np.float32), np.zeros((tail, h + 1), np.float32)
+            leaf = rest.sum(3)
+            self.mid_w = biased(np.zeros((len(rest), h, BRANCH), np.float32), leaf.sum(2) / leaf.sum((1, 2))[:, None])
+            self.mid_leaf_w = biased(np.zeros((len(rest) * BRANCH, h, BRANCH), np.float32), (leaf / leaf.sum(2, keepdims=True)).reshape(-1, BRANCH))
+            self.tail_in, self.tail_out = np.zeros((tail, h), np.float32), np.zeros((tail // LEAF, LEAF, h + 1), np.float32)
             self.counted = np.log(rest).astype(np.float32).reshape(-1, LEAF)
         self.hidden, self.seen = h, 0
 
@@ -216,6 +264,10 @@ class GRU:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.shared()])
 
+    def tail_rows(self, low: int, high: int) -> np.ndarray:
+        """Rows of words beyond HEAD, as input and as output."""
+        return np.concatenate([self.tail_in[low:high], self.tail_out.reshape(-1, self.hidden + 1)[low:high]], 1)
+
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for name in self.shared():
@@ -235,30 +287,49 @@ class GRU:
         """The class of each word."""
         return np.where(places < self.head, places // CLASS_SIZE, self.plain + (places - self.head) // SUPER)
 
-    def leaves(self, states: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the words of each state's leaf, and the words' rows; states end in a 1."""
-        rows = self.tail_out.reshape(-1, LEAF, self.hidden + 1)[leaf].astype(states.dtype, copy=False)
-        p = np.matmul(rows, states[:, :, None])[:, :, 0]
-        p += self.counted[leaf]
-        return _softmax(p), rows
+    def levels(self, places: np.ndarray) -> Iterator[tuple[str, slice, np.ndarray, np.ndarray]]:
+        """Below the classes, for sorted words: (name, the words that have the level, their nodes, the child of each)."""
+        n = int(np.searchsorted(places, self.head))
+        yield "word_w", slice(0, n), places[:n] // CLASS_SIZE, places[:n] % CLASS_SIZE
+        if len(self.NAMES) > len(self.DENSE):
+            leaf, word = np.divmod(places[n:] - self.head, LEAF)
+            node, of_node = np.divmod(leaf, BRANCH)
+            yield "mid_w", slice(n, None), node // BRANCH, node % BRANCH
+            yield "mid_leaf_w", slice(n, None), node, of_node
+            yield "tail_out", slice(n, None), leaf, word
+
+    def logits(self, name: str, nodes: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the nodes' children (nodes x states x children), and the weights (width x children)."""
+        w = getattr(self, name).take(nodes, 0)
+        if name != "tail_out":
+            return np.matmul(states, w), w
+        w = w.astype(states.dtype, copy=False).swapaxes(1, 2)
+        p = np.matmul(states, w)
+        p += self.counted.take(nodes, 0)[:, None]
+        return p, w
 
     def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """z (how much is kept), r, the candidate and its recurrent part."""
+        return tuple(g.T for g in self.gates_of_columns(x.T, h.T))
+
+    def gates_of_columns(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with a lane in each column, so that a gate of all lanes is one run of memory."""
         k = self.hidden
-        rec = h @ self.u
-        zr = x[:, : 2 * k] + rec[:, : 2 * k]
+        rec = self.u.T @ h
+        zr = x[: 2 * k] + rec[: 2 * k]
         np.negative(zr, out=zr)
-        np.exp(np.minimum(zr, 30, out=zr), out=zr)
+        np.exp(np.minimum(zr, 60, out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :k], zr[:, k:]
-        c = x[:, 2 * k :] + r * rec[:, 2 * k :]
+        z, r = zr[:k], zr[k:]
+        c = r * rec[2 * k :]
+        c += x[2 * k :]
         c *= -2  # tanh(c) = 2 / (1 + exp(-2c)) - 1; numpy's exp is vectorised where its tanh isn't
         np.exp(np.minimum(c, 60, out=c), out=c)
         c += 1
         np.divide(2, c, out=c)
         c -= 1
-        return z, r, c, rec[:, 2 * k :]
+        return z, r, c, rec[2 * k :]
 
     def table(self) -> np.ndarray:
         """The input's part of the gates, for the words of plain classes."""
@@ -266,33 +337,31 @@ class GRU:
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of P(target | state), by class and word."""
-        kind, out = self.kinds(target), np.empty(len(target), states.dtype)
-        for a in range(0, len(target), CHUNK):
-            logits = states[a : a + CHUNK] @ self.class_w
+        order = np.argsort(target)
+        y, s, out = target[order], _with_one(states[order]), np.empty(len(target), states.dtype)
+        kind = self.kinds(y)
+        for a in range(0, len(y), CHUNK):
+            logits = s[a : min(a + CHUNK, len(y)), :-1] @ self.class_w
             logits += self.class_b
             out[a : a + CHUNK] = _log_softmax(logits, kind[a : a + CHUNK])
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            j = k - self.plain
-            w, b = (self.word_w[k], self.word_b[k]) if j < 0 else (self.mid_w[j], self.mid_b[j])
-            for a in range(bounds[k], bounds[k + 1], CHUNK):
-                at = order[a : min(a + CHUNK, bounds[k + 1])]
-                logits = states[at] @ w
-                logits += b
-                out[at] += _log_softmax(logits, target[at] % CLASS_SIZE if j < 0 else (target[at] - self.head) % SUPER // LEAF)
-        rest = order[bounds[self.plain] :]
-        for a in range(0, len(rest), CHUNK // 4):
-            at = rest[a : a + CHUNK // 4]
-            place = target[at] - self.head
-            out[at] += np.log(self.leaves(_with_one(states[at]), place // LEAF)[0][np.arange(len(at)), place % LEAF])
-        return out
+        for name, part, node, child in self.levels(y):
+            mine, child, more = s[part], np.append(child, 0), np.empty(len(node) + 1, s.dtype)
+            if part.start == 0:
+                mine = _with_one(mine[: len(node), :-1])
+            for met, at in _side_by_side(node, CHUNK):
+                p, _ = self.logits(name, met, mine.take(at, 0))
+                more[at.ravel()] = _log_softmax(p.reshape(-1, p.shape[2]), child.take(at.ravel()))
+            out[part] += more[:-1]
+        said = np.empty_like(out)
+        said[order] = out
+        return said
 
     def score(self, places: np.ndarray, bounds: np.ndarray, window: int = 32, step_rows: int = 1 << 15) -> np.ndarray:
         """Log10 probability of each document's places, the state carried through.
 
         Documents run side by side, the longest first, so those that go on are
-        always the first lanes.
+        always the first lanes. A step is made for SCORED_LANES of them at once, so
+        that their gates stay in cache.
         """
         size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
@@ -300,28 +369,36 @@ class GRU:
         table, out = self.table(), np.zeros(len(size))
         for a in range(0, len(size), 4096):  # lanes side by side
             n, begin, total = size[a : a + 4096], first[a : a + 4096], np.zeros(len(size[a : a + 4096]))
-            h = np.zeros((len(n), self.hidden), np.float32)
-            x = np.broadcast_to(self.b, (len(n), 3 * self.hidden))
-            held, t, longest = [], 0, int(n[0]) if len(n) else 0
-            rows = 0
-            while t < longest:
-                alive = int(np.searchsorted(-n, -t, "left"))
-                z, _, c, _ = self.gates(x[:alive], h[:alive])
-                h = c + z * (h[:alive] - c)
-                target = places[begin[:alive] + t]
-                held.append((h, target))
-                rows += alive
-                x = table[np.minimum(target, self.head - 1)]
-                if len(rest := np.flatnonzero(target >= self.head)):
-                    x[rest] = self.tail_in[target[rest] - self.head].astype(np.float32) @ self.w + self.b
-                t += 1
-                if rows >= step_rows or t == longest or len(held) >= 256:
-                    scored = self.log_probability(np.concatenate([s for s, _ in held]), np.concatenate([y for _, y in held]))
+            alive = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), "left").tolist()
+            h, target = np.zeros((self.hidden, len(n)), np.float32), None
+            states, said = np.empty((step_rows + len(n), self.hidden), np.float32), np.empty(step_rows + len(n), places.dtype)
+            rows, lanes = 0, []
+            for t, m in enumerate(alive):
+                before, target = target, places[begin[:m] + t]
+                for i in range(0, m, SCORED_LANES):
+                    j = min(i + SCORED_LANES, m)
+                    now = h[:, i:j]
+                    if before is None:
+                        x = np.repeat(self.b[None], j - i, 0)
+                    else:
+                        x = table.take(np.minimum(before[i:j], self.head - 1), 0)
+                        if len(rest := np.flatnonzero(before[i:j] >= self.head)):
+                            x[rest] = self.tail_in.take(before[i + rest] - self.head, 0).astype(np.float32, copy=False) @ self.w + self.b
+                    z, _, c, _ = self.gates_of_columns(x.T, now)
+                    now -= c
+                    now *= z
+                    now += c
+                    states[rows + i : rows + j] = now.T
+                said[rows : rows + m] = target
+                lanes.append(m)
+                rows += m
+                if rows >= step_rows or t + 1 == len(alive):
+                    scored = self.log_probability(states[:rows], said[:rows])
                     at = 0
-                    for s, _ in held:
-                        total[: len(s)] += scored[at : at + len(s)]
-                        at += len(s)
-                    held, rows = [], 0
+                    for m in lanes:
+                        total[:m] += scored[at : at + m]
+                        at += m
+                    rows, lanes = 0, []
             out[order[a : a + 4096]] = total
         return out / math.log(10)
 
@@ -333,101 +410,88 @@ class GRU:
         `fresh` marks steps at which a lane begins a document; -1 is no target.
         """
         lanes, steps = inputs.shape
-        k, u3 = self.hidden, self.u
-        h, kept = h0, []
-        read = self.read(np.maximum(inputs.T.ravel(), 0))
-        read[inputs.T.ravel() < 0] = 0  # a document's first word follows no word
-        read = (read @ self.w + self.b).reshape(steps, lanes, -1)
+        k, words = self.hidden, inputs.T.ravel()  # all lanes of a step, then those of the next
+        read = self.read(np.maximum(words, 0))
+        read[words < 0] = 0  # a document's first word follows no word
+        x = self.w.T @ read.T
+        x += self.b[:, None]
+        x = x.reshape(3 * k, steps, lanes)
+        h, kept, states = h0.T, [], np.empty((steps, lanes, k), x.dtype)
         for t in range(steps):
             if fresh[:, t].any():
-                h = np.where(fresh[:, t : t + 1], 0, h)
-            z, r, c, rec = self.gates(read[t], h)
-            after = c + z * (h - c)
+                h = np.where(fresh[:, t], h.dtype.type(0), h)
+            z, r, c, rec = self.gates_of_columns(x[:, t], h)
             kept.append((h, z, r, c, rec))
-            h = after
-        states = np.stack([c + z * (p - c) for p, z, _, c, _ in kept], 1).reshape(-1, k)
-        flat = targets.ravel()
+            h = h - c
+            h *= z
+            h += c
+            states[t] = h.T
+        states, flat = states.reshape(-1, k), targets.T.ravel()
         ok = np.flatnonzero(flat >= 0)
-        scale = 1.0 / max(1, len(ok))
-        d_states = np.zeros_like(states)
-        g: dict = {"u": np.zeros_like(self.u)}
-        s, y = states[ok], flat[ok]
-        kind = self.kinds(y)
-        d = np.empty_like(s)
-        g["class_w"], g["class_b"] = np.zeros_like(self.class_w), np.zeros_like(self.class_b)
+        ok = ok[np.argsort(flat[ok])]
+        scale = states.dtype.type(1.0 / max(1, len(ok)))
+        g: dict = {"u": np.zeros_like(self.u), "class_w": np.zeros_like(self.class_w), "class_b": np.zeros_like(self.class_b)}
+        s, y = states.take(ok, 0), flat[ok]
+        kind, d = self.kinds(y), np.empty_like(s)
         for a in range(0, len(y), CHUNK):
             mine, said = s[a : a + CHUNK], kind[a : a + CHUNK]
             p = mine @ self.class_w
             p += self.class_b
-            _softmax(p)
-            p[np.arange(len(said)), said] -= 1
-            p *= scale
+            p, total = _exps(p)
+            p *= (scale / total)[:, None]
+            p[np.arange(len(said)), said] -= scale
             g["class_w"] += mine.T @ p
             g["class_b"] += p.sum(0)
             d[a : a + CHUNK] = p @ self.class_w.T
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.class_b) + 1))
-        levels = [("word", 0, self.plain, y % CLASS_SIZE)]
-        if len(self.NAMES) > len(self.DENSE):
-            levels.append(("mid", self.plain, len(self.class_b), (y - self.head) % SUPER // LEAF))
-        for name, low, high, said in levels:
-            w, b = getattr(self, name + "_w"), getattr(self, name + "_b")
-            met = np.flatnonzero(np.diff(bounds[low : high + 1]))
-            g_w, g_b = np.zeros((len(met), *w.shape[1:]), s.dtype), np.zeros((len(met), b.shape[1]), s.dtype)
-            for row, q in enumerate(met.tolist()):
-                at = order[bounds[low + q] : bounds[low + q + 1]]
-                mine = s[at]
-                p = mine @ w[q]
-                p += b[q]
-                _softmax(p)
-                p[np.arange(len(at)), said[at]] -= 1
-                p *= scale
-                g_w[row], g_b[row] = mine.T @ p, p.sum(0)
-                d[at] += p @ w[q].T
-            g[name + "_w"], g[name + "_b"] = (met, g_w), (met, g_b)
-        if len(levels) > 1:
-            at = order[bounds[self.plain] :]
-            at = at[np.argsort(y[at], kind="stable")]
-            place = y[at] - self.head
-            met, first = np.unique(place // LEAF, return_index=True)
-            summed = np.zeros((len(met), LEAF, k + 1), s.dtype)
-            ends = np.append(first, len(at))
-            i = 0
-            while i < len(met):  # whole leaves, some thousand states at once
-                j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK // 4, "right")) - 1)
-                some, states_1 = slice(ends[i], ends[j]), _with_one(s[at[ends[i] : ends[j]]])
-                p, rows = self.leaves(states_1, place[some] // LEAF)
-                p[np.arange(len(p)), place[some] % LEAF] -= 1
-                p *= scale
-                d[at[some]] += np.matmul(p[:, None], rows)[:, 0, :-1]
-                summed[i:j] = np.add.reduceat(p[:, :, None] * states_1[:, None], first[i:j] - ends[i])
-                i = j
-            g["tail_out"] = (met[:, None] * LEAF + np.arange(LEAF)).ravel(), summed.reshape(-1, k + 1)
+        for name, part, node, child in self.levels(y):
+            mine, child, found = _with_one(s[part]), np.append(child, 0), []
+            d_mine = np.empty_like(mine)
+            for met, at in _side_by_side(node, CHUNK // 2):
+                these = mine.take(at, 0)
+                p, w = self.logits(name, met, these)
+                flat_p, total = _exps(p.reshape(-1, p.shape[2]))
+                flat_p *= (scale / total)[:, None]
+                flat_p[np.arange(len(flat_p)), child.take(at.ravel())] -= scale
+                p = flat_p.reshape(p.shape)  # states of zeros add nothing to the weights
+                found.append((met, np.matmul(p.swapaxes(1, 2), these) if name == "tail_out" else np.matmul(these.swapaxes(1, 2), p)))
+                d_mine[at] = np.matmul(p, w.swapaxes(1, 2))
+            d[part] += d_mine[:-1, :-1]
+            g[name] = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), getattr(self, name)[:0])
+        d_states = np.zeros_like(states)
         d_states[ok] = d
-        d_states = d_states.reshape(lanes, steps, k)
-        back, d_x = np.zeros((lanes, k), np.float32), np.zeros((lanes, steps, 3 * k), np.float32)
+        d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, k).transpose(0, 2, 1))
+        back, d_x, d_rec = np.zeros((k, lanes), s.dtype), np.empty((3 * k, steps, lanes), s.dtype), np.empty((3 * k, lanes), s.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, c, rec = kept[t]
-            dh = d_states[:, t] + back
-            dz = dh * (before - c) * z * (1 - z)
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = dc * rec * r * (1 - r)
-            d_x[:, t, :k], d_x[:, t, k : 2 * k], d_x[:, t, 2 * k :] = dz, dr, dc
-            d_rec = np.concatenate([dz, dr, dc * r], 1)
-            g["u"] += before.T @ d_rec
-            back = dh * z + d_rec @ u3.T
+            dh = d_states[t]
+            dh += back
+            back = dh * z
+            dc = dh - back  # of the candidate
+            np.subtract(before, c, out=d_rec[:k])
+            d_rec[:k] *= dc
+            d_rec[:k] *= z
+            c *= c
+            np.subtract(1, c, out=c)
+            dc *= c
+            np.multiply(dc, r, out=d_rec[2 * k :])
+            np.multiply(d_rec[2 * k :], rec, out=d_rec[k : 2 * k])
+            d_rec[k : 2 * k] *= 1 - r
+            d_x[: 2 * k, t], d_x[2 * k :, t] = d_rec[: 2 * k], dc
+            g["u"] += before @ d_rec.T
+            back += self.u @ d_rec
             if fresh[:, t].any():
-                back = np.where(fresh[:, t : t + 1], 0, back)
-        flat_x, words = d_x.reshape(-1, 3 * k), inputs.ravel()
-        g["b"] = flat_x.sum(0)
+                back[:, fresh[:, t]] = 0
+        d_x = d_x.reshape(3 * k, -1)
+        g["b"], g["w"] = d_x.sum(1), read.T @ d_x.T
         some = np.flatnonzero(words >= 0)
-        g["w"] = self.read(words[some]).T @ flat_x[some]
-        order = some[np.argsort(words[some], kind="stable")]
-        rows, first = np.unique(words[order], return_index=True)
-        each = np.add.reduceat(flat_x[order] @ self.w.T, first) if len(rows) else np.zeros((0, k), np.float32)
+        order = some[np.argsort(words[some])]
+        rows = words[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else order
+        rows = rows[first]
+        each = np.add.reduceat((d_x.T @ self.w.T).take(order, 0), first) if len(rows) else np.zeros((0, k), s.dtype)
         cut = np.searchsorted(rows, self.head)
         g["embed"], g["tail_in"] = (rows[:cut], each[:cut]), (rows[cut:] - self.head, each[cut:])
-        return [g[n] for n in self.NAMES], h
+        return [g[n] for n in self.NAMES], h.T
 
 
 class Adagrad:
@@ -438,7 +502,7 @@ class Adagrad:
 
     def __init__(self, model: GRU, rate: float = RATE):
         self.model, self.rate = model, rate
-        self.past = [np.full_like(x[:, :1] if n[:4] == "tail" else x, 1e-6) for n, x in zip(getattr(model, "NAMES", ()), model.weights(), strict=True)]
+        self.past = [np.full_like(x[..., :1] if n[:4] == "tail" else x, 1e-6) for n, x in zip(getattr(model, "NAMES", ()), model.weights(), strict=True)]
 
     def step(self, gradients: list) -> None:
         """Change the weights; the gradients are used up.
@@ -452,11 +516,14 @@ class Adagrad:
             rows = None
             if isinstance(g, tuple):
                 rows, g = g
-                if len(rows) == len(x):
-                    rows = None
-            squares = g * g
             if v.shape != x.shape:
-                squares = squares.mean(1, keepdims=True)
+                squares = v[rows]
+                squares += (np.einsum("...j,...j->...", g, g) / g.dtype.type(g.shape[-1]))[..., None]
+                v[rows] = squares
+                g *= self.rate / np.sqrt(squares)
+                x[rows] -= g
+                continue
+            squares = g * g
             if rows is None:
                 v += squares
                 np.sqrt(v, out=squares)
@@ -480,7 +547,7 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
     while there are documents to read, and lanes without any go.
     """
     steps, seen, turns, most = Adagrad(model, rate), 0, 0, max(lanes, MOST_LANES)
-    held = np.zeros(0, np.int64)  # tokens of the documents being read or waiting
+    held = np.zeros(0, np.int32)  # tokens of the documents being read or waiting
     at, end, waiting = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
     fresh, h, more = np.zeros(lanes, bool), np.zeros((lanes, model.hidden), np.float32), True
     while True:
@@ -499,14 +566,20 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
                 todo.append(doc)
                 size += len(doc)
             cuts = (base + np.cumsum([0, *map(len, todo)])).tolist()
-            waiting = list(zip(cuts[:-1], cuts[1:], strict=True))[::-1]
+            # Documents that take long in a lane go first, so that in the end few steps have few lanes.
+            waiting = list(zip(cuts[:-1], cuts[1:], strict=True))
+            if cuts[-1] > ENOUGH:
+                long = cuts[-1] // (4 * most)
+                waiting.sort(key=lambda w: max(w[1] - w[0], long), reverse=True)
+            left, waiting = cuts[-1] - cuts[0], waiting[::-1]
             held = np.concatenate([*parts, *todo]) if parts or todo else held
         for lane in free[: len(waiting)].tolist():
             at[lane], end[lane] = waiting.pop()
+            left -= int(end[lane] - at[lane])
             fresh[lane] = True
         if not more and not waiting and (at >= end).any():
-            left = at < end
-            at, end, fresh, h = at[left], end[left], fresh[left], h[left]
+            on = at < end
+            at, end, fresh, h = at[on], end[on], fresh[on], h[on]
         if not len(at):
             return seen
         places = at[:, None] + np.arange(window)
@@ -520,7 +593,7 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
         steps.step(gradients)
         seen += int(here.sum())
         at, fresh, turns = np.minimum(at + window, end), np.zeros(len(at), bool), turns + 1
-        if turns % WINDOWS == 0 and more and len(at) < most:
+        if turns % WINDOWS == 0 and (more or left > ENOUGH) and len(at) < most:
             n = min(len(at), most - len(at))
             at, end = np.append(at, np.zeros(n, np.int64)), np.append(end, np.zeros(n, np.int64))
             fresh, h = np.append(fresh, np.zeros(n, bool)), np.concatenate([h, np.zeros((n, model.hidden), h.dtype)])
@@ -584,7 +657,7 @@ def _averaged(found: DataFrame, model: GRU) -> int:
             i, d = _unpacked(r.w, width)
             at = (-1 - r.part) * _ROWS + i.astype(np.int64)
             model.tail_in[at] += d[:, : model.hidden]
-            model.tail_out[at] += d[:, model.hidden :]
+            model.tail_out.reshape(-1, model.hidden + 1)[at] += d[:, model.hidden :]
     model.load(flat)
     return seen
 
@@ -594,6 +667,7 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
     model, sc = GRU(vocabulary), docs.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
     chosen = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(5)), F.lit(1_000_000)).alias("share"))
+    copies = max(sc.defaultParallelism, min(plan_bytes(docs) // COPY_BYTES, 1 << 24))
     for turn in range(rounds):
         low, high = (int(1e6 * fraction * k / rounds) for k in (turn, turn + 1))
         shipped = sc.broadcast(model if turn else None)  # the first is made by its seed
@@ -612,23 +686,23 @@ def learn(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, fractio
                     for _, _, data, offsets in ts.blocks(batch.column(1).filter(pa.array(learnt))):
                         hashes, bounds = token_hashes(data, offsets)
                         place, _ = words.value.look_up(hashes)
-                        yield from np.split(place, bounds[1:-1])
+                        yield from np.split(place.astype(np.int32), bounds[1:-1])
 
             seen = train(mine, places())
             if seen:
                 flat, lane = mine.flat(), TaskContext.get().partitionId() % 16
                 found = [(k, lane, flat[k * _PART : (k + 1) * _PART].tobytes()) for k in range(-(-len(flat) // _PART))]
                 for a in range(0, len(mine.tail_in) if tail else 0, _ROWS):
-                    change = np.concatenate([mine.tail_in[a : a + _ROWS], mine.tail_out[a : a + _ROWS]], 1)
+                    change = mine.tail_rows(a, a + _ROWS)
                     if before is not None:
-                        change -= np.concatenate([before.tail_in[a : a + _ROWS], before.tail_out[a : a + _ROWS]], 1)
+                        change -= before.tail_rows(a, a + _ROWS)
                     if len(some := np.flatnonzero(change.any(1))):
                         found.append((-1 - a // _ROWS, 0, _packed(some, change[some])))
                 for a in range(0, len(found), 64):
                     part, lanes, w = zip(*found[a : a + 64], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lanes, pa.int32()), pa.array([seen] * len(part), pa.int64()), pa.array(w, pa.binary())], names=["part", "lane", "n", "w"])
 
-        share = chosen.where((F.col("share") >= low) & (F.col("share") < high)).select("i", "t")
+        share = chosen.where((F.col("share") >= low) & (F.col("share") < high)).select("i", "t").coalesce(copies)
         model.seen += _averaged(share.mapInArrow(run, "part int, lane int, n long, w binary"), model)
         shipped.unpersist()
     return model
@@ -650,7 +724,7 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, fraction: float = FRA
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in ts.blocks(batch.column(1), SCORED_BYTES):
-                hashes, bounds = token_hashes(data, offsets)
+                hashes, bounds = hashes_of_blocks(data, offsets)
                 place, count = vocabulary.look_up(hashes)
                 logs = np.log10(np.maximum(count, 0) + 1.0)
                 doc, outside = np.repeat(np.arange(j - i), np.diff(bounds)), place == 0

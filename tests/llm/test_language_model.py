@@ -202,3 +202,41 @@ def test_vocabulary_grows_with_the_counts(spark):
     assert vocabulary.size > 4096 and vocabulary.outside_distinct == counts.where("c < 8").count()
     model = lm.learn(docs, vocabulary)
     assert np.abs(model.tail_in).max() > 0 and np.abs(model.tail_out).max() > 0
+
+
+def test_a_long_document_is_read_beside_others():
+    """It goes first, although it comes last, so that few steps have few lanes."""
+
+    class Lanes:
+        hidden = 1
+
+        def weights(self):
+            return []
+
+        def gradients(self, inputs, targets, h, fresh):
+            lanes.append(len(inputs))
+            return [], h
+
+    lanes = []
+    docs = [np.arange(16)] * 60_000 + [np.arange(16 * 150)]
+    assert lm.train(Lanes(), iter(docs)) == sum(map(len, docs))
+    assert len(lanes) <= 340 and sum(n < 64 for n in lanes) < 10
+
+
+def test_copies_learn_from_enough(spark, monkeypatch):
+    """Many small partitions don't each send a model."""
+    sent, averaged = [], lm._averaged
+    monkeypatch.setattr(lm, "_averaged", lambda found, model: sent.append(found.rdd.getNumPartitions()) or averaged(found, model))
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(60)
+    vocabulary = lm.build_vocabulary(lm.count_tokens(df), 64)
+    assert lm.learn(df, vocabulary).seen == vocabulary.total
+    assert max(sent) <= max(spark.sparkContext.defaultParallelism, 1)
+
+
+def test_large_logits():
+    p = np.random.default_rng(8).standard_normal((5, 16)) * [[1], [30], [200], [5000], [1]]
+    p[4] -= 9000
+    said = np.arange(5)
+    want = p - p.max(1, keepdims=True)
+    want = want[said, said] - np.log(np.exp(want).sum(1))
+    assert np.allclose(lm._log_softmax(p.astype(np.float32), said), want, rtol=1e-4, atol=1e-3)
