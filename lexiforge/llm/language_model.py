@@ -1,8 +1,8 @@
 """LM scoring with a gated recurrent language model in numpy.
 
 The model is a GRU over words. Its output softmax is factored: a distribution
-over frequency classes and one over the words of the class; classes of words that
-aren't among the 4096 most frequent are factored further, so that the vocabulary
+over frequency classes and one over the words of the class; instead of words that
+aren't among the 4096 most frequent, classes have trees of such words, so that the vocabulary
 grows with the counts that are broadcast, but for words met less than 8 times, from
 which the model learns how likely unseen ones are. Words outside it are one symbol, whose probability is shared among them by their counts
 in all training documents, so every text has a probability. Training is
@@ -27,6 +27,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -43,8 +44,9 @@ from .shared import documents, plan_bytes, written
 
 #: Words of the softmax, with the symbol for all others; words of a class; widths.
 VOCABULARY, CLASS_SIZE, HIDDEN = 1 << 18, 64, 32
-#: Words of plain classes; words of a larger class of the rest, and of a leaf in it; a larger class has BRANCH branches of as many leaves.
-HEAD, SUPER, LEAF, BRANCH = 4096, 4096, 16, 16
+#: Words of plain classes. The others are the leaves of trees of SUPER words, nodes of BRANCH children in DEPTH levels; a class may have trees for words.
+HEAD, BRANCH, DEPTH = 4096, 8, 3
+SUPER = BRANCH**DEPTH
 #: Words met less often have no output: held-out documents hold more of them than their counts say.
 LEAST_COUNT = 8
 #: Frequent words whose counts are broadcast: 16 bytes each.
@@ -52,6 +54,8 @@ BROADCAST_WORDS = 1 << 18
 ROUNDS, FRACTION = 2, 1.0
 #: Lanes at first and at most: they double after every so many windows, which makes tokens a little cheaper, and steps fewer.
 LANES, MOST_LANES, WINDOWS, WINDOW, RATE = 64, 256, 64, 16, 0.05
+#: Rate of nodes above the lowest, of the rate of all others.
+MID_RATE = 0.25
 #: Largest norm of a step's gradient over the weights that all words share.
 CLIP = 0.2
 #: States whose outputs are made at once, so that they stay in a core's cache.
@@ -67,8 +71,10 @@ END = np.uint64(0x1D8E4E27C47D124F)
 FLUSH = 1 << 20
 #: Bytes of files from which a copy learns at least, where that leaves a copy for each core.
 COPY_BYTES = 32 << 20
-#: Bytes of texts that are scored side by side, and lanes of a step.
-SCORED_BYTES, SCORED_LANES = 1 << 23, 512
+#: Bytes of texts that are scored side by side, at least if a batch has them, and lanes of a step.
+SCORED_BYTES, SCORED_LANES = 1 << 25, 512
+#: Bytes of texts whose words are counted at once.
+COUNTED_BYTES = 1 << 22
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 
 
@@ -147,9 +153,28 @@ class Vocabulary:
         """Place and count of tokens; the count is -1 where it isn't here."""
         if not len(self.keys):
             return np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        known = self.keys[at] == hashes
-        return np.where(known, self.place[at], 0), np.where(known, self.counts[at], -1)
+        first, shift = self.by_first_bits
+        at = first.take((hashes >> shift).view(np.int64))
+        found = self.keys.take(at)
+        while len(less := np.flatnonzero(found < hashes)):  # keys of the same first bits come before
+            less = less[at[less] + 1 < len(self.keys)]
+            if not len(less):
+                break
+            at[less] += 1
+            found[less] = self.keys.take(at[less])
+        known = found == hashes
+        return np.where(known, self.place.take(at), 0), np.where(known, self.counts.take(at), -1)
+
+    @functools.cached_property
+    def by_first_bits(self) -> tuple[np.ndarray, np.uint64]:
+        """The first key that isn't less, for the first bits of fingerprints, four times as many as keys; and the bits after those."""
+        bits = min(24, len(self.keys).bit_length() + 2)
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return np.minimum(first, len(self.keys) - 1).astype(np.int32), shift
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "by_first_bits"}
 
 
 def build_vocabulary(counts: DataFrame, size: int = VOCABULARY, frequent: int = BROADCAST_WORDS) -> Vocabulary:
@@ -189,6 +214,14 @@ def _log_softmax(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return said - np.log(_exps(p)[1])
 
 
+def _less_said(p: np.ndarray, said: np.ndarray, scale: np.floating) -> np.ndarray:
+    """Gradient of the loss by logits, which are used up."""
+    p, total = _exps(p)
+    p *= (scale / total)[:, None]
+    p[np.arange(len(said)), said] -= scale
+    return p
+
+
 def _with_one(states: np.ndarray) -> np.ndarray:
     """The states with a 1 after each, which weighs a bias, and a row of zeros after all."""
     out = np.zeros((len(states) + 1, states.shape[1] + 1), states.dtype)
@@ -196,8 +229,15 @@ def _with_one(states: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(kind: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, after the last) of each value of a sorted array."""
+    if len(kind):
+        first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        yield from zip(kind[first].tolist(), first.tolist(), [*first[1:].tolist(), len(kind)], strict=True)
+
+
 def _side_by_side(node: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(nodes, indices of the states of each) of states that are sorted by node, about `rows` states at once.
+    """(sorted nodes, indices of the states of each) of states that are sorted by node, about `rows` states at once.
 
     A node of fewer states than the others beside it has len(node) for the rest.
     """
@@ -206,53 +246,55 @@ def _side_by_side(node: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     count = np.diff(np.append(first, len(node)))
     rank = np.argsort(count, kind="stable")
-    first, count = first[rank], count[rank]
-    met = node[first]
     i = 0
-    for size, end in zip(SIDE, np.searchsorted(count, SIDE, "right").tolist(), strict=True):
+    for size, end in zip(SIDE, np.searchsorted(count[rank], SIDE, "right").tolist(), strict=True):
         steps = np.arange(size)
         while i < end:
-            j = min(end, i + max(1, rows // size))
-            at = first[i:j, None] + steps
-            at[steps >= count[i:j, None]] = len(node)
-            yield met[i:j], at
-            i = j
-    for k in range(i, len(met)):
-        yield met[k : k + 1], np.arange(first[k], first[k] + count[k])[None]
+            some = np.sort(rank[i : min(end, i + max(1, rows // size))])
+            at = first[some, None] + steps
+            if size > 1:
+                at[steps >= count[some, None]] = len(node)
+            yield node[first[some]], at
+            i += len(some)
+    for k in rank[i:].tolist():
+        yield node[first[k] : first[k] + 1], np.arange(first[k], first[k] + count[k])[None]
 
 
 class GRU:
     """Weights, forward pass and truncated backpropagation."""
 
     DENSE = ("embed", "w", "u", "b", "class_w", "class_b", "word_w")
-    #: Of the words beyond HEAD: branches of a larger class, leaves of a branch, and a row of each word as input and, in its leaf, as output.
-    TAIL = ("mid_w", "mid_leaf_w", "tail_in", "tail_out")
+    #: Of the words beyond HEAD: the children of all nodes above the lowest, and a row of each word as input and, in its node, as output.
+    TAIL = ("mid_w", "tail_in", "tail_out")
 
     def __init__(self, vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 11):
         rng = np.random.default_rng(seed)
         head, h = min(vocabulary.size, HEAD), hidden
         tail = vocabulary.size - head
-        self.head, self.plain = head, head // CLASS_SIZE
-        n = self.plain + tail // SUPER
+        self.head = head
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         smooth = vocabulary.unigram + 0.5
         smooth = smooth / smooth.sum()
-        words, rest = smooth[:head].reshape(-1, CLASS_SIZE), smooth[head:].reshape(-1, BRANCH, BRANCH, LEAF)
+        sums, counted = smooth[head:], []
+        for _ in range(DEPTH if tail else 0):  # from the words up
+            children = sums.reshape(-1, BRANCH)
+            sums = children.sum(1)
+            counted.append(np.log(children / sums[:, None]).astype(np.float32))
+        words = np.concatenate([smooth[:head], sums, np.full(-len(sums) % CLASS_SIZE, 1e-12)]).reshape(-1, CLASS_SIZE)
+        n = len(words)
         self.embed, self.w, self.u = small(head, h), small(h, 3 * h) * 3, small(h, 3 * h) * 2
         self.b = np.zeros(3 * h, np.float32)
         self.b[:h] = 1.0  # the update gate keeps the state at first
-        self.class_w, self.class_b = small(h, n), np.log(np.concatenate([words.sum(1), rest.sum((1, 2, 3))])).astype(np.float32)
-        biased = lambda w, shares: np.concatenate([w, np.log(shares).astype(np.float32)[:, None]], 1)
-        self.word_w = biased(small(self.plain, h, CLASS_SIZE), words / words.sum(1, keepdims=True))
+        self.class_w, self.class_b = small(h, n), np.log(words.sum(1)).astype(np.float32)
+        self.word_w = np.concatenate([small(n, h, CLASS_SIZE), np.log(words / words.sum(1, keepdims=True)).astype(np.float32)[:, None]], 1)
         self.NAMES = self.DENSE
         if tail:  # all zero at first: words by their counts
             self.NAMES = self.DENSE + self.TAIL
-            leaf = rest.sum(3)
-            self.mid_w = biased(np.zeros((len(rest), h, BRANCH), np.float32), leaf.sum(2) / leaf.sum((1, 2))[:, None])
-            self.mid_leaf_w = biased(np.zeros((len(rest) * BRANCH, h, BRANCH), np.float32), (leaf / leaf.sum(2, keepdims=True)).reshape(-1, BRANCH))
-            self.tail_in, self.tail_out = np.zeros((tail, h), np.float32), np.zeros((tail // LEAF, LEAF, h + 1), np.float32)
-            self.counted = np.log(rest).astype(np.float32).reshape(-1, LEAF)
+            self.counted = np.concatenate(counted[::-1])
+            self.above = np.cumsum([0, *map(len, counted[:0:-1])])  # the first node of each level
+            self.mid_w, self.tail_in, self.tail_out = (np.zeros(x, np.float32) for x in ((self.above[-1], BRANCH, h + 1), (tail, h), (tail // BRANCH, BRANCH, h + 1)))
         self.hidden, self.seen = h, 0
+        self.past, self.rate = None, 0.0  # of the nodes, while they learn
 
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
@@ -283,75 +325,100 @@ class GRU:
             out[rest] = self.tail_in[places[rest] - self.head]
         return out
 
-    def kinds(self, places: np.ndarray) -> np.ndarray:
-        """The class of each word."""
-        return np.where(places < self.head, places // CLASS_SIZE, self.plain + (places - self.head) // SUPER)
-
-    def levels(self, places: np.ndarray) -> Iterator[tuple[str, slice, np.ndarray, np.ndarray]]:
-        """Below the classes, for sorted words: (name, the words that have the level, their nodes, the child of each)."""
+    def classes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each sorted word, and the child of the class: the word, or its tree."""
         n = int(np.searchsorted(places, self.head))
-        yield "word_w", slice(0, n), places[:n] // CLASS_SIZE, places[:n] % CLASS_SIZE
-        if len(self.NAMES) > len(self.DENSE):
-            leaf, word = np.divmod(places[n:] - self.head, LEAF)
-            node, of_node = np.divmod(leaf, BRANCH)
-            yield "mid_w", slice(n, None), node // BRANCH, node % BRANCH
-            yield "mid_leaf_w", slice(n, None), node, of_node
-            yield "tail_out", slice(n, None), leaf, word
-
-    def logits(self, name: str, nodes: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the nodes' children (nodes x states x children), and the weights (width x children)."""
-        w = getattr(self, name).take(nodes, 0)
-        if name != "tail_out":
-            return np.matmul(states, w), w
-        w = w.astype(states.dtype, copy=False).swapaxes(1, 2)
-        p = np.matmul(states, w)
-        p += self.counted.take(nodes, 0)[:, None]
-        return p, w
+        return np.divmod(np.append(places[:n], self.head + (places[n:] - self.head) // SUPER), CLASS_SIZE)
+
+    def nodes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted nodes of sorted words beyond HEAD, level by level, and the child of each."""
+        found = [places - self.head]
+        for _ in range(DEPTH):
+            found.append(found[-1] // BRANCH)
+        return np.concatenate([x + a for x, a in zip(found[:0:-1], self.above, strict=True)]), np.concatenate(found[-2::-1]) % BRANCH
+
+    def children(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (nodes x children x width) of sorted nodes, and the logits of the counts."""
+        n, out = int(np.searchsorted(nodes, len(self.mid_w))), np.empty((len(nodes), *self.tail_out.shape[1:]), self.tail_out.dtype)
+        np.take(self.mid_w, nodes[:n], 0, out=out[:n], mode="clip")
+        np.take(self.tail_out, nodes[n:] - len(self.mid_w), 0, out=out[n:], mode="clip")
+        return out, self.counted.take(nodes, 0)
+
+    def learn_children(self, nodes: np.ndarray, w: np.ndarray, p: np.ndarray, states: np.ndarray) -> None:
+        """A step of sorted nodes by their gradients by logits; `w` is used up. Each row of weights has one scale, by Adagrad."""
+        n, past = int(np.searchsorted(nodes, len(self.mid_w))), self.past.take(nodes, 0)
+        if p.shape[1] == 1:  # of one state: the gradient's squares are those of the logits', times the state's
+            p, states = p[:, 0], states[:, 0]
+            past += p * p * (np.einsum("nk,nk->n", states, states) / states.shape[-1])[:, None]
+        else:
+            change = np.matmul(p.swapaxes(1, 2), states)
+            past += np.einsum("nck,nck->nc", change, change) / change.dtype.type(change.shape[-1])
+        self.past[nodes] = past
+        scale = self.rate / np.sqrt(past)
+        scale[:n] *= MID_RATE
+        if p.ndim == 2:
+            p *= scale
+            change = np.einsum("nc,nk->nck", p, states)
+        else:
+            change *= scale[:, :, None]
+        w -= change
+        self.mid_w[nodes[:n]], self.tail_out[nodes[n:] - len(self.mid_w)] = w[:n], w[n:]
 
     def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """z (how much is kept), r, the candidate and its recurrent part."""
-        return tuple(g.T for g in self.gates_of_columns(x.T, h.T))
+        return tuple(g.T for g in self.gates_of_columns((x * self.halved()).T, h.T, (self.u * self.halved()).T))
+
+    def halved(self) -> np.ndarray:
+        """Factors of the gates' inputs: 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2."""
+        return np.repeat(np.array([0.5, 0.5, 1], self.u.dtype), self.hidden)
 
-    def gates_of_columns(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same with a lane in each column, so that a gate of all lanes is one run of memory."""
+    def gates_of_columns(self, x: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of halved inputs and weights, with a lane in each column, so that a gate of all lanes is one run of memory."""
         k = self.hidden
-        rec = self.u.T @ h
+        rec = u @ h
         zr = x[: 2 * k] + rec[: 2 * k]
-        np.negative(zr, out=zr)
-        np.exp(np.minimum(zr, 60, out=zr), out=zr)
+        np.tanh(zr, out=zr)
         zr += 1
-        np.reciprocal(zr, out=zr)
+        zr *= 0.5
         z, r = zr[:k], zr[k:]
         c = r * rec[2 * k :]
         c += x[2 * k :]
-        c *= -2  # tanh(c) = 2 / (1 + exp(-2c)) - 1; numpy's exp is vectorised where its tanh isn't
-        np.exp(np.minimum(c, 60, out=c), out=c)
-        c += 1
-        np.divide(2, c, out=c)
-        c -= 1
+        np.tanh(c, out=c)
         return z, r, c, rec[2 * k :]
 
     def table(self) -> np.ndarray:
         """The input's part of the gates, for the words of plain classes."""
         return self.embed @ self.w + self.b
 
+    def of_classes(self, states: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Logits of the words of each state's class; states are sorted by class."""
+        p = np.empty((len(states), CLASS_SIZE), states.dtype)
+        for k, a, b in _runs(kind):
+            np.dot(states[a:b], self.word_w[k], out=p[a:b])
+        return p
+
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of P(target | state), by class and word."""
+        """Natural log of P(target | state), by class and word; the states may have a 1 after each already."""
         order = np.argsort(target)
-        y, s, out = target[order], _with_one(states[order]), np.empty(len(target), states.dtype)
-        kind = self.kinds(y)
+        if states.shape[1] == self.hidden:
+            states = _with_one(states)[:-1]
+        y, s, out = target[order], np.zeros((len(target) + 1, states.shape[1]), states.dtype), np.empty(len(target), states.dtype)
+        np.take(states, order, 0, out=s[:-1], mode="clip")
+        (kind, child), w = self.classes(y), np.concatenate([self.class_w, self.class_b[None]])
         for a in range(0, len(y), CHUNK):
-            logits = s[a : min(a + CHUNK, len(y)), :-1] @ self.class_w
-            logits += self.class_b
-            out[a : a + CHUNK] = _log_softmax(logits, kind[a : a + CHUNK])
-        for name, part, node, child in self.levels(y):
-            mine, child, more = s[part], np.append(child, 0), np.empty(len(node) + 1, s.dtype)
-            if part.start == 0:
-                mine = _with_one(mine[: len(node), :-1])
+            mine = slice(a, min(a + CHUNK, len(y)))
+            out[mine] = _log_softmax(s[mine] @ w, kind[mine])
+            out[mine] += _log_softmax(self.of_classes(s[mine], kind[mine]), child[mine])
+        if n := len(y) - int(np.searchsorted(y, self.head)):
+            node, child = self.nodes(y[-n:])
+            row, more = np.append(np.arange(len(node)) % n + len(y) - n, len(y)), np.empty(len(node) + 1, s.dtype)
+            child = np.append(child, 0)
             for met, at in _side_by_side(node, CHUNK):
-                p, _ = self.logits(name, met, mine.take(at, 0))
-                more[at.ravel()] = _log_softmax(p.reshape(-1, p.shape[2]), child.take(at.ravel()))
-            out[part] += more[:-1]
+                w, counted = self.children(met)
+                p = np.matmul(s.take(row.take(at), 0), w.swapaxes(1, 2))
+                p += counted[:, None]
+                more[at.ravel()] = _log_softmax(p.reshape(-1, BRANCH), child.take(at.ravel()))
+            out[-n:] += more[:-1].reshape(-1, n).sum(0)
         said = np.empty_like(out)
         said[order] = out
         return said
@@ -366,29 +433,41 @@ class GRU:
         size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
         size, first = size[order], bounds[:-1][order]
-        table, out = self.table(), np.zeros(len(size))
+        k, halved, out = self.hidden, self.halved(), np.zeros(len(size))
+        table, w, b, u = self.table() * halved, self.w * halved, self.b * halved, self.u * halved
+        # Of the two gates and of the candidate, each a run of memory.
+        tables, us = ([np.ascontiguousarray(x[:, : 2 * k]), np.ascontiguousarray(x[:, 2 * k :])] for x in (table, u))
         for a in range(0, len(size), 4096):  # lanes side by side
             n, begin, total = size[a : a + 4096], first[a : a + 4096], np.zeros(len(size[a : a + 4096]))
             alive = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), "left").tolist()
-            h, target = np.zeros((self.hidden, len(n)), np.float32), None
-            states, said = np.empty((step_rows + len(n), self.hidden), np.float32), np.empty(step_rows + len(n), places.dtype)
+            h, target = np.zeros((len(n), k), np.float32), None
+            states, said = np.ones((step_rows + len(n), k + 1), np.float32), np.empty(step_rows + len(n), places.dtype)
             rows, lanes = 0, []
             for t, m in enumerate(alive):
                 before, target = target, places[begin[:m] + t]
                 for i in range(0, m, SCORED_LANES):
                     j = min(i + SCORED_LANES, m)
-                    now = h[:, i:j]
+                    now = h[i:j]
                     if before is None:
-                        x = np.repeat(self.b[None], j - i, 0)
+                        zr, x = np.repeat(b[None, : 2 * k], j - i, 0), np.repeat(b[None, 2 * k :], j - i, 0)
                     else:
-                        x = table.take(np.minimum(before[i:j], self.head - 1), 0)
+                        zr, x = (y.take(before[i:j], 0, mode="clip") for y in tables)
                         if len(rest := np.flatnonzero(before[i:j] >= self.head)):
-                            x[rest] = self.tail_in.take(before[i + rest] - self.head, 0).astype(np.float32, copy=False) @ self.w + self.b
-                    z, _, c, _ = self.gates_of_columns(x.T, now)
+                            of_rest = self.tail_in.take(before[i + rest] - self.head, 0) @ w
+                            of_rest += b
+                            zr[rest], x[rest] = of_rest[:, : 2 * k], of_rest[:, 2 * k :]
+                    zr += now @ us[0]
+                    np.tanh(zr, out=zr)
+                    zr += 1
+                    zr *= 0.5
+                    c = now @ us[1]
+                    c *= zr[:, k:]
+                    c += x
+                    np.tanh(c, out=c)
                     now -= c
-                    now *= z
+                    now *= zr[:, :k]
                     now += c
-                    states[rows + i : rows + j] = now.T
+                    states[rows + i : rows + j, :k] = now
                 said[rows : rows + m] = target
                 lanes.append(m)
                 rows += m
@@ -411,16 +490,16 @@ class GRU:
         """
         lanes, steps = inputs.shape
         k, words = self.hidden, inputs.T.ravel()  # all lanes of a step, then those of the next
-        read = self.read(np.maximum(words, 0))
-        read[words < 0] = 0  # a document's first word follows no word
-        x = self.w.T @ read.T
-        x += self.b[:, None]
-        x = x.reshape(3 * k, steps, lanes)
-        h, kept, states = h0.T, [], np.empty((steps, lanes, k), x.dtype)
+        read = np.ones((steps, lanes, k + 1), self.embed.dtype)  # a 1 weighs the bias
+        read[:, :, :k] = self.read(np.maximum(words, 0)).reshape(steps, lanes, k)
+        read[inputs.T < 0, :k] = 0  # a document's first word follows no word
+        halved = self.halved()
+        w, u = (np.ascontiguousarray((x * halved).T) for x in (np.concatenate([self.w, self.b[None]]), self.u))
+        h, kept, states = h0.T, [], np.empty((steps, lanes, k), read.dtype)
         for t in range(steps):
             if fresh[:, t].any():
                 h = np.where(fresh[:, t], h.dtype.type(0), h)
-            z, r, c, rec = self.gates_of_columns(x[:, t], h)
+            z, r, c, rec = self.gates_of_columns(w @ read[t].T, h, u)
             kept.append((h, z, r, c, rec))
             h = h - c
             h *= z
@@ -430,65 +509,90 @@ class GRU:
         ok = np.flatnonzero(flat >= 0)
         ok = ok[np.argsort(flat[ok])]
         scale = states.dtype.type(1.0 / max(1, len(ok)))
-        g: dict = {"u": np.zeros_like(self.u), "class_w": np.zeros_like(self.class_w), "class_b": np.zeros_like(self.class_b)}
-        s, y = states.take(ok, 0), flat[ok]
-        kind, d = self.kinds(y), np.empty_like(s)
+        g: dict = {"u": np.zeros_like(self.u)}
+        s, y = _with_one(states.take(ok, 0)), flat[ok]
+        (kind, child), d, class_w = self.classes(y), np.empty_like(s), np.concatenate([self.class_w, self.class_b[None]])
+        d[-1] = 0
+        of_class = np.zeros_like(class_w)
         for a in range(0, len(y), CHUNK):
-            mine, said = s[a : a + CHUNK], kind[a : a + CHUNK]
-            p = mine @ self.class_w
-            p += self.class_b
-            p, total = _exps(p)
-            p *= (scale / total)[:, None]
-            p[np.arange(len(said)), said] -= scale
-            g["class_w"] += mine.T @ p
-            g["class_b"] += p.sum(0)
-            d[a : a + CHUNK] = p @ self.class_w.T
-        for name, part, node, child in self.levels(y):
-            mine, child, found = _with_one(s[part]), np.append(child, 0), []
-            d_mine = np.empty_like(mine)
-            for met, at in _side_by_side(node, CHUNK // 2):
-                these = mine.take(at, 0)
-                p, w = self.logits(name, met, these)
-                flat_p, total = _exps(p.reshape(-1, p.shape[2]))
-                flat_p *= (scale / total)[:, None]
-                flat_p[np.arange(len(flat_p)), child.take(at.ravel())] -= scale
-                p = flat_p.reshape(p.shape)  # states of zeros add nothing to the weights
-                found.append((met, np.matmul(p.swapaxes(1, 2), these) if name == "tail_out" else np.matmul(these.swapaxes(1, 2), p)))
-                d_mine[at] = np.matmul(p, w.swapaxes(1, 2))
-            d[part] += d_mine[:-1, :-1]
-            g[name] = tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), getattr(self, name)[:0])
+            mine, said = s[a : min(a + CHUNK, len(y))], kind[a : a + CHUNK]
+            p = _less_said(mine @ class_w, said, scale)
+            of_class += mine.T @ p
+            np.matmul(p, class_w.T, out=d[a : a + len(said)])
+        g["class_w"], g["class_b"] = of_class[:-1], of_class[-1]
+        p, runs = _less_said(self.of_classes(s[:-1], kind), child, scale), list(_runs(kind))
+        g["word_w"] = np.array([r[0] for r in runs], np.int64), np.empty((len(runs), k + 1, CLASS_SIZE), s.dtype)
+        found, d_mine = g["word_w"][1], np.empty_like(s)
+        d_mine[-1] = 0
+        for i, (c, a, b) in enumerate(runs):
+            these = p[a:b]
+            np.dot(s[a:b].T, these, out=found[i])
+            np.dot(these, self.word_w[c].T, out=d_mine[a:b])
+        d += d_mine
+        if len(self.NAMES) > len(self.DENSE):
+            n = len(y) - int(np.searchsorted(y, self.head))
+            node, child = self.nodes(y[len(y) - n :])
+            row, child, d_mine = np.append(np.arange(len(node)) % max(n, 1) + len(y) - n, len(y)), np.append(child, 0), np.empty((len(node) + 1, k + 1), s.dtype)
+            found = []
+            for met, at in _side_by_side(node, CHUNK // 4):
+                w, counted = self.children(met)
+                these = s.take(row.take(at), 0)
+                p = np.matmul(these, w.swapaxes(1, 2))
+                p += counted[:, None]
+                p = _less_said(p.reshape(-1, BRANCH), child.take(at.ravel()), scale).reshape(p.shape)
+                d_mine[at] = np.matmul(p, w)
+                # States of zeros add nothing to the weights.
+                if self.past is None:
+                    found.append((met, np.matmul(p.swapaxes(1, 2), these)))
+                else:
+                    self.learn_children(met, w, p, these)
+            if n:
+                d[len(y) - n : -1] += d_mine[:-1].reshape(-1, n, k + 1).sum(0)
+            if found:
+                rows = np.concatenate([r for r, _ in found])
+                order, cut = np.argsort(rows), int((rows < len(self.mid_w)).sum())
+                rows, each = rows[order], np.concatenate([x for _, x in found])[order]
+                g["mid_w"], g["tail_out"] = (rows[:cut], each[:cut]), (rows[cut:] - len(self.mid_w), each[cut:])
+            else:
+                g["mid_w"], g["tail_out"] = ((np.zeros(0, np.int64), x[:0]) for x in (self.mid_w, self.tail_out))
+        d = d[:-1, :-1]
         d_states = np.zeros_like(states)
         d_states[ok] = d
         d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, k).transpose(0, 2, 1))
-        back, d_x, d_rec = np.zeros((k, lanes), s.dtype), np.empty((3 * k, steps, lanes), s.dtype), np.empty((3 * k, lanes), s.dtype)
+        # Of the candidate's inputs, of the gates' and of the candidate's recurrent part: the first three are the inputs', the last three the states'.
+        back, d_all, d_read = np.zeros((k, lanes), s.dtype), np.empty((4 * k, lanes), s.dtype), np.empty((steps, lanes, k), s.dtype)
+        dc, d_z, d_r, d_rec, d_x, d_h = d_all[:k], d_all[k : 2 * k], d_all[2 * k : 3 * k], d_all[3 * k :], d_all[: 3 * k], d_all[k:]
+        w, of_w = np.concatenate([self.w[:, 2 * k :], self.w[:, : 2 * k]], 1).T, np.zeros((k + 1, 3 * k), s.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, c, rec = kept[t]
             dh = d_states[t]
             dh += back
             back = dh * z
-            dc = dh - back  # of the candidate
-            np.subtract(before, c, out=d_rec[:k])
-            d_rec[:k] *= dc
-            d_rec[:k] *= z
+            np.subtract(dh, back, out=dc)  # of the candidate
+            np.subtract(before, c, out=d_z)
+            d_z *= dc
+            d_z *= z
             c *= c
             np.subtract(1, c, out=c)
             dc *= c
-            np.multiply(dc, r, out=d_rec[2 * k :])
-            np.multiply(d_rec[2 * k :], rec, out=d_rec[k : 2 * k])
-            d_rec[k : 2 * k] *= 1 - r
-            d_x[: 2 * k, t], d_x[2 * k :, t] = d_rec[: 2 * k], dc
-            g["u"] += before @ d_rec.T
-            back += self.u @ d_rec
+            np.multiply(dc, r, out=d_rec)
+            np.multiply(d_rec, rec, out=d_r)
+            np.subtract(1, r, out=r)
+            d_r *= r
+            g["u"] += before @ d_h.T
+            of_w += read[t].T @ d_x.T
+            np.matmul(d_x.T, w, out=d_read[t])
+            back += self.u @ d_h
             if fresh[:, t].any():
                 back[:, fresh[:, t]] = 0
-        d_x = d_x.reshape(3 * k, -1)
-        g["b"], g["w"] = d_x.sum(1), read.T @ d_x.T
+        of_w = np.concatenate([of_w[:, k:], of_w[:, :k]], 1)
+        g["w"], g["b"] = of_w[:-1], of_w[-1]
         some = np.flatnonzero(words >= 0)
         order = some[np.argsort(words[some])]
         rows = words[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else order
         rows = rows[first]
-        each = np.add.reduceat((d_x.T @ self.w.T).take(order, 0), first) if len(rows) else np.zeros((0, k), s.dtype)
+        each = np.add.reduceat(d_read.reshape(-1, k).take(order, 0), first) if len(rows) else np.zeros((0, k), s.dtype)
         cut = np.searchsorted(rows, self.head)
         g["embed"], g["tail_in"] = (rows[:cut], each[:cut]), (rows[cut:] - self.head, each[cut:])
         return [g[n] for n in self.NAMES], h.T
@@ -497,12 +601,15 @@ class GRU:
 class Adagrad:
     """Steps scaled by past gradients; rows without a gradient aren't touched.
 
-    Rows of words beyond HEAD have one scale each, which keeps them small.
+    Rows of words beyond HEAD and of the nodes above them have one scale each, which keeps them small;
+    from now on the model's nodes learn where their gradients are made, and give none.
     """
 
     def __init__(self, model: GRU, rate: float = RATE):
         self.model, self.rate = model, rate
-        self.past = [np.full_like(x[..., :1] if n[:4] == "tail" else x, 1e-6) for n, x in zip(getattr(model, "NAMES", ()), model.weights(), strict=True)]
+        self.past = [np.full_like(x[..., :1] if n in GRU.TAIL else x, 1e-6) for n, x in zip(getattr(model, "NAMES", ()), model.weights(), strict=True)]
+        if "mid_w" in getattr(model, "NAMES", ()):
+            model.past, model.rate = np.full(model.counted.shape, 1e-8, np.float32), rate
 
     def step(self, gradients: list) -> None:
         """Change the weights; the gradients are used up.
@@ -516,7 +623,9 @@ class Adagrad:
             rows = None
             if isinstance(g, tuple):
                 rows, g = g
+                rows = None if len(rows) == len(x) else rows
             if v.shape != x.shape:
+                rows = slice(None) if rows is None else rows
                 squares = v[rows]
                 squares += (np.einsum("...j,...j->...", g, g) / g.dtype.type(g.shape[-1]))[..., None]
                 v[rows] = squares
@@ -539,6 +648,11 @@ class Adagrad:
                 x[rows] -= g
 
 
+def keep_heap() -> None:
+    """Free one large array: malloc then takes all smaller ones from a heap that it keeps, where it would return pages after each step."""
+    np.empty(30 << 20, np.uint8)
+
+
 def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> int:
     """Train on documents (places with the end) and return the tokens seen.
 
@@ -546,6 +660,7 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
     windows and starts anew with a document, which begins a window. Lanes double
     while there are documents to read, and lanes without any go.
     """
+    keep_heap()
     steps, seen, turns, most = Adagrad(model, rate), 0, 0, max(lanes, MOST_LANES)
     held = np.zeros(0, np.int32)  # tokens of the documents being read or waiting
     at, end, waiting = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), []
@@ -569,7 +684,7 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
             # Documents that take long in a lane go first, so that in the end few steps have few lanes.
             waiting = list(zip(cuts[:-1], cuts[1:], strict=True))
             if cuts[-1] > ENOUGH:
-                long = cuts[-1] // (4 * most)
+                long = cuts[-1] // (16 * most)
                 waiting.sort(key=lambda w: max(w[1] - w[0], long), reverse=True)
             left, waiting = cuts[-1] - cuts[0], waiting[::-1]
             held = np.concatenate([*parts, *todo]) if parts or todo else held
@@ -581,6 +696,7 @@ def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, wind
             on = at < end
             at, end, fresh, h = at[on], end[on], fresh[on], h[on]
         if not len(at):
+            model.past = None
             return seen
         places = at[:, None] + np.arange(window)
         here = places < end[:, None]
@@ -712,6 +828,28 @@ _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 _SCORED_NAMES = [c.split()[0] for c in _SCORED.split(", ")]
 
 
+def counted(vocabulary: Vocabulary, row: int, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Places of a block's tokens, their number by document, and the columns but for the model's part of the score."""
+    hashes, bounds = hashes_of_blocks(data, offsets)
+    place, count = vocabulary.look_up(hashes)
+    n, logs = len(ids), np.log10(np.maximum(count, 0) + 1.0)
+    doc, outside = np.repeat(np.arange(n), np.diff(bounds)), place == 0
+    missing = np.flatnonzero(count < 0)
+    order = missing[np.lexsort((hashes[missing], doc[missing]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    start = np.flatnonzero(new)
+    times = np.diff(np.append(start, len(order))).astype(np.int32)
+    cuts = np.searchsorted(doc[order[start]], np.arange(n + 1)).astype(np.int32)
+    columns = {
+        "row": pa.array(np.arange(row, row + n)), "doc_id": ids, "held_out": pa.array(held_out(ids.to_pylist())), "n_tokens": pa.array(np.diff(bounds)),
+        "n_known": pa.array(ts.per_doc(count > 0, bounds)), "base": pa.array(np.bincount(doc, logs, n)),
+        "model": np.bincount(doc[outside], logs[outside], n), "outside": pa.array(ts.per_doc(outside, bounds)),
+        "rare": pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[order[start]].view(np.int64))), "times": pa.ListArray.from_arrays(pa.array(cuts), pa.array(times)),
+    }
+    return place.astype(np.int32), np.diff(bounds), columns
+
+
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, fraction: float = FRACTION, vocabulary_size: int = VOCABULARY, frequent: int = BROADCAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts, base score and the model's score, in log10."""
     counts = written(count_tokens(docs, id_col, text_col), "counts")
@@ -720,29 +858,20 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, fraction: float = FRA
     words, shipped = sc.broadcast(vocabulary), sc.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         row, vocabulary, model = TaskContext.get().partitionId() << 40, words.value, shipped.value
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, data, offsets in ts.blocks(batch.column(1), SCORED_BYTES):
-                hashes, bounds = hashes_of_blocks(data, offsets)
-                place, count = vocabulary.look_up(hashes)
-                logs = np.log10(np.maximum(count, 0) + 1.0)
-                doc, outside = np.repeat(np.arange(j - i), np.diff(bounds)), place == 0
-                missing = np.flatnonzero(count < 0)
-                order = missing[np.lexsort((hashes[missing], doc[missing]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-                start = np.flatnonzero(new)
-                times = np.diff(np.append(start, len(order))).astype(np.int32)
-                cuts = np.searchsorted(doc[order[start]], np.arange(j - i + 1)).astype(np.int32)
-                columns = [
-                    pa.array(np.arange(row, row + j - i)), ids.slice(i, j - i), pa.array(held_out(ids.slice(i, j - i).to_pylist())), pa.array(np.diff(bounds)),
-                    pa.array(ts.per_doc(count > 0, bounds)), pa.array(np.bincount(doc, logs, j - i)),
-                    pa.array(model.score(place, bounds) + np.bincount(doc[outside], logs[outside], j - i)), pa.array(ts.per_doc(outside, bounds)),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[order[start]].view(np.int64))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times)),
-                ]
-                row += j - i
-                yield pa.RecordBatch.from_arrays(columns, names=_SCORED_NAMES)
+            held, size = [], 0
+            for i, j, data, offsets in ts.blocks(batch.column(1), COUNTED_BYTES):
+                held.append(counted(vocabulary, row, batch.column(0).slice(i, j - i), data, offsets))
+                row, size = row + j - i, size + len(data)
+                if size >= SCORED_BYTES or j == len(batch):
+                    scores = model.score(np.concatenate([p for p, _, _ in held]), np.cumsum(np.concatenate([[0], *(n for _, n, _ in held)])))
+                    for _, n, columns in held:
+                        mine, scores = scores[: len(n)], scores[len(n) :]
+                        columns["model"] = pa.array(mine + columns["model"])
+                        yield pa.RecordBatch.from_arrays([columns[c] for c in _SCORED_NAMES], names=_SCORED_NAMES)
+                    held, size = [], 0
 
     scored = written(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

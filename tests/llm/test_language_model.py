@@ -1,8 +1,10 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiforge.llm import language_model as lm
@@ -240,3 +242,58 @@ def test_large_logits():
     want = p - p.max(1, keepdims=True)
     want = want[said, said] - np.log(np.exp(want).sum(1))
     assert np.allclose(lm._log_softmax(p.astype(np.float32), said), want, rtol=1e-4, atol=1e-3)
+
+
+def test_look_up_by_first_bits():
+    rng = np.random.default_rng(9)
+    near = np.uint64(7 << 60) + np.arange(40, dtype=np.uint64)  # all of the same first bits
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, 500, np.uint64), near, [np.uint64(0), ~np.uint64(0)]]))
+    place, counts = rng.permutation(len(keys)), rng.integers(1, 99, len(keys))
+    v = lm.Vocabulary(keys, counts, place, 64, np.zeros(64, np.int64), 0, 0, 0, 0)
+    asked = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 5000, np.uint64)])
+    said = {k: (p, c) for k, p, c in zip(keys.tolist(), place.tolist(), counts.tolist(), strict=True)}
+    assert list(zip(*(x.tolist() for x in v.look_up(asked)), strict=True)) == [said.get(k, (0, -1)) for k in asked.tolist()]
+    assert len(v.by_first_bits[0]) > len(keys) and "by_first_bits" not in pickle.loads(pickle.dumps(v)).__dict__
+
+
+def test_nodes_learn_as_their_gradients_say():
+    """Where gradients are made, rows of nodes take the step of Adagrad with one scale a row."""
+    rng = np.random.default_rng(10)
+    model, same = lm.GRU(large_vocabulary(), 4), lm.GRU(large_vocabulary(), 4)
+    targets = np.concatenate([rng.integers(4096, 12_000, (30, 4)), np.full((30, 2), 4100), np.full((30, 1), 7)], 1)
+    inputs, fresh = np.concatenate([np.full((30, 1), -1), targets[:, :-1]], 1), np.zeros((30, 7), bool)
+    steps = lm.Adagrad(same, 0.05)
+    for _ in range(2):
+        gradients, _ = model.gradients(inputs, targets, np.zeros((30, 4), np.float32), fresh)
+        found = dict(zip(model.NAMES, gradients, strict=True))
+        if model.seen == 0:
+            past = {n: np.full(getattr(model, n).shape[:2], steps.model.past[0, 0]) for n in ("mid_w", "tail_out")}
+            model.seen = 1
+        for name, rate in (("mid_w", 0.05 * lm.MID_RATE), ("tail_out", 0.05)):
+            rows, g = found[name]
+            past[name][rows] += (g * g).mean(2)
+            getattr(model, name)[rows] -= rate * g / np.sqrt(past[name][rows])[..., None]
+        same.gradients(inputs, targets, np.zeros((30, 4), np.float32), fresh)
+        assert np.abs(model.mid_w).max() > 0 and np.abs(model.tail_out).max() > 0
+        assert np.allclose(model.mid_w, same.mid_w, atol=1e-5) and np.allclose(model.tail_out, same.tail_out, atol=1e-5)
+
+
+def test_classes_of_a_large_vocabulary_are_few():
+    """Trees of rare words are children of classes, so that each token's first softmax stays short."""
+    unigram = 1 + 10_000_000 // np.arange(1, lm.VOCABULARY + 1)
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), lm.VOCABULARY, unigram, int(unigram.sum()), lm.VOCABULARY, 0, 0)
+    model = lm.GRU(v, 2)
+    assert len(model.class_b) <= 72
+    rare = np.array([5000, 100_000, lm.VOCABULARY - 1])
+    shares = np.exp(model.log_probability(np.zeros((3, 2), np.float32), rare))
+    assert np.allclose(shares, (unigram[rare] + 0.5) / (unigram + 0.5).sum(), rtol=1e-3)
+
+
+def test_blocks_are_counted_apart_and_scored_together():
+    model, texts = small_vocabulary(), pa.array(["a b a", "", None, "c  D d", "x" * 50, "a"], pa.large_string())
+    data, offsets = lm.ts.text_buffers(texts)
+    place, n, whole = lm.counted(model, 0, pa.array(range(6)), data, offsets)
+    parts = [lm.counted(model, i, pa.array(range(i, j)), d, o) for i, j, d, o in lm.ts.blocks(texts, 6)]
+    assert len(parts) > 2 and np.concatenate([p for p, _, _ in parts]).tolist() == place.tolist() and n.tolist() == [4, 1, 1, 4, 2, 2]
+    for name in whole:
+        assert [x for _, _, c in parts for x in c[name].tolist()] == whole[name].tolist()
