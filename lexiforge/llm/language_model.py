@@ -2,7 +2,7 @@
 
 The model is a GRU over words. Its output softmax is factored: a distribution
 over frequency classes and one over the words of the class; instead of words that
-aren't among the 4096 most frequent, classes have trees of such words, so that the vocabulary
+aren't among the 2048 most frequent, classes have trees of such words, so that the vocabulary
 grows with the counts that are broadcast, but for words met less than 8 times, from
 which the model learns how likely unseen ones are. Words outside it are one symbol, whose probability is shared among them by their counts
 in all training documents, so every text has a probability. Training is
@@ -45,7 +45,7 @@ from .shared import documents, plan_bytes, written
 #: Words of the softmax, with the symbol for all others; words of a class; widths.
 VOCABULARY, CLASS_SIZE, HIDDEN = 1 << 18, 64, 32
 #: Words of plain classes. The others are the leaves of trees of SUPER words, nodes of BRANCH children in DEPTH levels; a class may have trees for words.
-HEAD, BRANCH, DEPTH = 4096, 8, 3
+HEAD, BRANCH, DEPTH = 2048, 8, 3
 SUPER = BRANCH**DEPTH
 #: Words met less often have no output: held-out documents hold more of them than their counts say.
 LEAST_COUNT = 8
