@@ -72,7 +72,7 @@ FLUSH = 1 << 20
 #: Bytes of files from which a copy learns at least, where that leaves a copy for each core.
 COPY_BYTES = 32 << 20
 #: Bytes of texts that are scored side by side, at least if a batch has them, and lanes of a step.
-SCORED_BYTES, SCORED_LANES = 1 << 25, 512
+SCORED_BYTES, SCORED_LANES = 1 << 24, 512
 #: Bytes of texts whose words are counted at once.
 COUNTED_BYTES = 1 << 22
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -650,7 +650,7 @@ class Adagrad:
 
 def keep_heap() -> None:
     """Free one large array: malloc then takes all smaller ones from a heap that it keeps, where it would return pages after each step."""
-    np.empty(30 << 20, np.uint8)
+    np.empty(8 << 20, np.uint8)
 
 
 def train(model: GRU, documents_: Iterator[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> int:
